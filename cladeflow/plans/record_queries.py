@@ -47,17 +47,17 @@ P6_SQL = """
 with t as (
   select tree_id, lower(trim(name, ' ''"')) as n, loaded_at, deleted_at from nodes where is_tip
 ), r as (
-  select 'metadata' as table_name, meta_id as row_id, tree_id, lower(trim(name, ' ''"')) as n, received_at as at from metadata
+  select 'metadata' as table_name, meta_id as row_id, tree_id, lower(trim(name, ' ''"')) as n, received_at as seen from metadata
   union all
   select 'sequence_names', entry_id, tree_id, lower(trim(name, ' ''"')), added_at from sequence_names
 )
 select table_name, row_id,
-  case when count(t.n) = 0 then 'missing' when min(t.loaded_at) <= at then 'deleted' else 'late' end as reason,
-  strftime(at, '%Y-%m') as ref_month
+  case when count(t.n) = 0 then 'missing' when min(t.loaded_at) <= seen then 'deleted' else 'late' end as reason,
+  strftime(seen, '%Y-%m') as ref_month
 from r left join t on r.tree_id = t.tree_id and r.n = t.n
 where r.n is not null
-group by table_name, row_id, at
-having not coalesce(bool_or(t.loaded_at <= at and (t.deleted_at is null or at < t.deleted_at)), false)
+group by table_name, row_id, seen
+having not coalesce(bool_or(t.loaded_at <= seen and (t.deleted_at is null or seen < t.deleted_at)), false)
 """
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p3_found, p3_loaded, p4_found, p4_times, p6_found)}

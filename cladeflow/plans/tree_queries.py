@@ -216,7 +216,7 @@ def lineages_through_time(spark, d):
 
 def merger_rate_integral(spark, d):
     x = T.merger_integral(T.lineages(_events(spark, d), GROUP), GROUP)
-    return x.select(*GROUP, "t", "k", F.round("integral", 9).alias("integral"))
+    return x.select(*GROUP, "t", "k", F.round("integral", 11).alias("integral"))
 
 
 def trait_states(spark, d):
@@ -410,7 +410,7 @@ SQL = {
     "equal_rates_transitions": "with" + _CUR + " select tree_id, node_id, round(0.25 + 0.75 * exp(-branch_length / 0.75), 8) as p_same, round(0.25 - 0.25 * exp(-branch_length / 0.75), 8) as p_other from cur",
     "lineages_through_time": _EVENTS + " select tree_id, root_id, t, dn, k::bigint as k from ltt",
     "merger_rate_integral": _EVENTS + """, x as (select *, coalesce((t - lag(t) over w) * 0.5 * greatest(0.5, lag(k) over w - 1), 0) as a from ltt window w as (partition by tree_id, root_id order by t))
-        select tree_id, root_id, t, k::bigint as k, round(sum(a) over (partition by tree_id, root_id order by t), 9) as integral from x""",
+        select tree_id, root_id, t, k::bigint as k, round(sum(a) over (partition by tree_id, root_id order by t), 11) as integral from x""",
     "trait_states": "select tree_id, country, dense_rank() over (partition by tree_id order by country)::int as state from (select distinct tree_id, country from metadata where country is not null)",
 }
 QUERIES = {
