@@ -200,15 +200,17 @@ class Evidence:
 
 
 def classify(kind: str, a: str, c: int, u: int, e: int, w: int, starts: int) -> str:
-    """What summed counts say: N - abbreviation that never ends a sentence, F - one that also does, C - the sentence goes on, '' - nothing special."""
+    """What summed counts say: N - abbreviation that never ends a sentence, L - one that goes on in lower case only, F - one that also ends, C - the sentence goes on, '' - nothing special."""
     total = c + u + e
     if kind == "d":
+        if w > 3 * total:
+            return "R" if c < 0.5 * total or total < 10 else "L"
         if total < 3:
             return ""
         if e <= 0.01 * total:
             if c >= 0.5 * total or (total >= 30 and (w <= 0.1 * total or len(a) == 1)):
-                return "N"
-        elif c >= 0.2 * total:
+                return "L" if total >= 20 and u <= 0.02 * total else "N"
+        elif c >= 0.2 * total and w <= total:
             return "F"
         return "R" if total >= 10 else ""
     if kind == "e":
@@ -303,7 +305,7 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
             continue
         before = text[at - 1 : at] if at > s else ""
         if any(c in STRONG for c in run):
-            if follows in ",;:)，、；：）" or (script(follows) == "latin" and not nxt.isspace() and follows.islower() and before.isalnum() and run in "!?"):
+            if (follows in ",;:)" or (follows in "，、；：）" and tail > end)) or (script(follows) == "latin" and not nxt.isspace() and follows.islower() and before.isalnum() and run in "!?"):
                 continue
             out.append(tail)
             continue
@@ -324,7 +326,7 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
                     continue
                 fresh = nxt.isupper() or nxt in "¿¡«„“「『\"" or script(nxt) == "cjk"
                 a = _abbreviation(t, said)
-                if not fresh or len(t) < 2 or a == "N" or (script(nxt) == "cjk" and kind not in ("latin", "cjk")):
+                if not fresh or len(t) < 2 or a in ("N", "L") or (script(nxt) == "cjk" and kind not in ("latin", "cjk")):
                     continue
                 if nxt.isupper() and "." in t and a != "F":
                     continue
@@ -341,7 +343,7 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
                 out.append(tail)
                 continue
             a = _abbreviation(t, said)
-            if a == "N":
+            if a == "N" or (a == "L" and not (cased and w[:1].isupper() and not _capitals(w))):
                 continue
             if a == "F":
                 if follows.isdigit() or said.get(("f", t, w.lower())) == "C" or (cased and follows.islower()):
@@ -360,6 +362,12 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
     return out
 
 
+def _capitals(rest: str) -> bool:
+    """Whether the first word is written in capitals throughout (two letters or more)."""
+    m = _WORD.match(rest)
+    return bool(m) and len(m[0]) > 1 and m[0].isupper()
+
+
 def _closed(text: str, s: int, end: int, tail: int) -> int:
     """The tail without quote marks that open the next sentence."""
     for i in range(end, tail):
