@@ -7,6 +7,8 @@ many tasks. Clock and time-tree passes run per tree, or per tree and rate.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -296,3 +298,138 @@ def discrete_traits(nodes: DataFrame, traits: DataFrame, pc: float = 1.0, rounds
     """
     d = nodes.select(*NODE_COLUMNS).join(traits.select("tree_id", "node_id", "trait"), ["tree_id", "node_id"], "left")
     return d.groupBy("tree_id").applyInPandas(_traits(pc, rounds, bias, weights), _TRAIT)
+
+
+def branch_state_pairs(states: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Counted (parent, child) letters of each branch: tree_id, node_id, anc, der, n, from ancestral_states."""
+    s = states.select("tree_id", "node_id", "start", "states")
+    up = s.select("tree_id", F.col("node_id").alias("parent_id"), "start", F.col("states").alias("_up"))
+    both = s.join(nodes.select("tree_id", "node_id", "parent_id"), ["tree_id", "node_id"]).join(up, ["tree_id", "parent_id", "start"])
+    pair = F.explode(F.arrays_zip(F.split("_up", "").alias("a"), F.split("states", "").alias("d"))).alias("x")
+    return both.select("tree_id", "node_id", pair).groupBy("tree_id", "node_id", F.col("x.a").alias("anc"), F.col("x.d").alias("der")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def branch_lengths(pairs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Branch lengths of greatest likelihood from counted state pairs: tree_id, node_id, length, hamming."""
+    m = model or named("jc69", letters="nuc_nogap")
+    q = len(m.letters)
+    at = {c: k for k, c in enumerate(m.letters)}
+
+    def run(batches):
+        par, chi = np.divmod(np.arange(q * q), q)
+        for b in batches:
+            n = np.zeros((len(b), q * q))
+            for r, (keys, values) in enumerate(zip(b["k"], b["n"])):
+                for key, v in zip(keys, values):
+                    if key[0] in at and key[1] in at:
+                        n[r, at[key[0]] * q + at[key[1]]] += v
+            total = n.sum(axis=1)
+            yield pd.DataFrame({"tree_id": b["tree_id"], "node_id": b["node_id"], "length": A.branch_lengths(m, par, chi, n), "hamming": n[:, par != chi].sum(axis=1) / np.maximum(total, 1)})
+
+    per = pairs.groupBy("tree_id", "node_id").agg(F.collect_list(F.concat("anc", "der")).alias("k"), F.collect_list("n").alias("n"))
+    return per.mapInPandas(run, "tree_id string, node_id int, length double, hamming double")
+
+
+def simulate_alignments(nodes: DataFrame, length: int, model: Model | None = None, seed: int = 1, block: int = 500, inner: bool = False) -> DataFrame:
+    """Sequences evolved down each tree: tree_id, node_id, name, start, seq; blocks of sites have seeds of their own."""
+    m = model or named("jc69", letters="nuc_nogap")
+    blocks = nodes.select(*NODE_COLUMNS).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(length - 1), F.lit(block))))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        start, out = int(p["start"].iloc[0]), []
+        for t in _trees(p):
+            rng = np.random.default_rng([seed, start, zlib.crc32(f"{p['tree_id'].iloc[0]}/{t.ids[0]}".encode())])
+            st = A.simulate(t, m, min(block, length - start), rng)
+            for i in range(len(t)) if inner else t.tips:
+                out.append((p["tree_id"].iloc[0], t.ids[i], t.name[i], start, "".join(np.array(m.letters)[st[i]])))
+        return pd.DataFrame(out, columns=["tree_id", "node_id", "name", "start", "seq"])
+
+    return blocks.groupBy("tree_id", "start").applyInPandas(run, "tree_id string, node_id int, name string, start int, seq string")
+
+
+def _rates_once(p: pd.DataFrame, sites: float, grid: int) -> pd.DataFrame:
+    f = float(p["factor"].iloc[0])
+    out = []
+    for tree in _trees(p):
+        lo, hi = _dated(p, tree)
+        good = ~np.isnan(lo)
+        if good.sum() < 3:
+            continue
+        slope = C.clock_model(tree, (lo + hi) / 2, good, C.variances(tree, 1 / sites, False))["slope"]
+        if not slope > 0:
+            continue
+        _, t = TimeTree(tree, lo, hi, slope * f, 1 / sites, grid).joint()
+        out += [(p["tree_id"].iloc[0], tree.ids[i], f, t[i]) for i in range(len(tree))]
+    return pd.DataFrame(out, columns=["tree_id", "node_id", "factor", "date"])
+
+
+def rate_susceptibility(nodes: DataFrame, dates: DataFrame, spread: float = 0.1, sites: int = 1000, grid: int = 150) -> DataFrame:
+    """Dates at the clock rate and one spread above and below it: tree_id, node_id, date, lower, upper. One task per tree and rate."""
+    d = nodes.select(*NODE_COLUMNS).join(dates.select("tree_id", "node_id", "lo", "hi"), ["tree_id", "node_id"], "left")
+    each = d.withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (1 - spread, 1.0, 1 + spread)])))
+    ran = each.groupBy("tree_id", "factor").applyInPandas(lambda p: _rates_once(p, float(sites), grid), "tree_id string, node_id int, factor double, date double")
+    return ran.groupBy("tree_id", "node_id").agg(
+        F.max(F.when(F.col("factor") == 1.0, F.col("date"))).alias("date"), F.min("date").alias("lower"), F.max("date").alias("upper")
+    )
+
+
+def combined_interval(center, rate_lo, rate_hi, mut_lo, mut_hi):
+    """Bounds that join the deviations due to the rate and due to mutations in quadrature, as columns."""
+    return (
+        center - F.sqrt(F.pow(center - rate_lo, 2) + F.pow(center - mut_lo, 2)),
+        center + F.sqrt(F.pow(rate_hi - center, 2) + F.pow(mut_hi - center, 2)),
+    )
+
+
+def tree_layout(nodes: DataFrame) -> DataFrame:
+    """Plot frame: tree_id, node_id, x (distance from the root), y (tips in order, inner nodes amid their children)."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t in _trees(p):
+            y = np.zeros(len(t))
+            y[t.tips] = np.arange(1, len(t.tips) + 1)
+            for i in t.postorder:
+                if t.children[i]:
+                    k = y[t.children[i]]
+                    y[i] = (k.min() + k.max()) / 2
+            x = t.depth()
+            out += [(p["tree_id"].iloc[0], t.ids[i], x[i], y[i]) for i in range(len(t))]
+        return pd.DataFrame(out, columns=["tree_id", "node_id", "x", "y"])
+
+    return nodes.select(*NODE_COLUMNS).groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, x double, y double")
+
+
+def reassortment_clades(nodes: DataFrame, mccs: DataFrame) -> DataFrame:
+    """Clade of common history of each node from its tips' (tree_id, name, mcc): tree_id, node_id, mcc, shared (with the parent)."""
+    d = nodes.select(*NODE_COLUMNS).join(mccs.select("tree_id", "name", "mcc"), ["tree_id", "name"], "left")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        known, out = dict(zip(p["node_id"], p["mcc"])), []
+        for t in _trees(p):
+            m = A.mcc_of_nodes(t, {int(i): int(known[t.ids[i]]) for i in t.tips if known[t.ids[i]] == known[t.ids[i]] and known[t.ids[i]] is not None})
+            out += [(p["tree_id"].iloc[0], t.ids[i], int(m[i]), bool(i and m[i] >= 0 and m[i] == m[t.parent[i]])) for i in range(len(t))]
+        return pd.DataFrame(out, columns=["tree_id", "node_id", "mcc", "shared"])
+
+    return d.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, mcc int, shared boolean")
+
+
+def optimised_trees(nodes: DataFrame, aln: DataFrame, model: Model | None = None) -> DataFrame:
+    """Branch lengths after alternating marginal states and lengths: tree_id, node_id, length, log_lh, rounds.
+
+    A tree's lengths depend on all its sites, so this runs per tree.
+    """
+    m = model or named("jc69", letters="nuc_nogap")
+    whole = site_blocks(nodes, aln, 1_000_000_000)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        seq, out = dict(zip(p["node_id"], p["block_seq"])), []
+        for t in _trees(p):
+            tips = {int(i): m.profiles(seq[t.ids[i]]) for i in t.tips if isinstance(seq[t.ids[i]], str)}
+            if len(tips) < 3:
+                continue
+            new, trace = A.optimise_lengths(t, m, tips, 1 / len(next(iter(tips.values()))))
+            out += [(p["tree_id"].iloc[0], new.ids[i], float(new.length[i]), float(trace[-1]), len(trace)) for i in range(len(new))]
+        return pd.DataFrame(out, columns=["tree_id", "node_id", "length", "log_lh", "rounds"])
+
+    return whole.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, length double, log_lh double, rounds int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +42,11 @@ def root_paths(nodes: DataFrame) -> DataFrame:
         F.when(reach.isNotNull(), F.col("branch_length")).otherwise(0.0).alias("dist2root"),
     )
     at = materialize(at, "paths")
-    for _ in range(40):
-        if at.where("_ptr is not null").isEmpty():
+    while True:
+        state = at.agg(F.max(F.col("_ptr").isNotNull()).alias("open"), F.max(F.array_contains("path", F.col("node_id"))).alias("cycle")).first()
+        if state["cycle"]:
+            raise ValueError("the parents of some nodes form a cycle")
+        if not state["open"]:
             break
         up = at.select("tree_id", F.col("node_id").alias("_ptr"), F.col("_ptr").alias("_next"), F.col("path").alias("_path"), F.col("dist2root").alias("_dist"))
         at = at.join(up, ["tree_id", "_ptr"], "left").select(
@@ -54,8 +55,6 @@ def root_paths(nodes: DataFrame) -> DataFrame:
             (F.col("dist2root") + F.coalesce("_dist", F.lit(0.0))).alias("dist2root"),
         )
         at = materialize(at, "paths")
-    else:
-        raise ValueError("the parents of some nodes form a cycle")
     return at.select("tree_id", "node_id", *keep, "path", F.size("path").alias("depth"), "dist2root", F.coalesce(F.element_at(F.when(F.size("path") > 0, F.col("path")), -1), F.col("node_id")).alias("root_id"))
 
 
@@ -135,7 +134,3 @@ def kept_ancestor(paths: DataFrame, drop) -> DataFrame:
     each = left.select("tree_id", "node_id", F.posexplode_outer("path").alias("_k", "_a"))
     near = each.join(gone, ["tree_id", "_a"], "left").where("_gone is null and _a is not null").groupBy("tree_id", "node_id").agg(F.min_by("_a", "_k").alias("new_parent_id"))
     return left.join(near, ["tree_id", "node_id"], "left")
-
-
-def max_rounds(depth: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, depth))))

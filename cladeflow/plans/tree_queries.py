@@ -282,6 +282,56 @@ def traits_inferred(spark, d):
     return I.discrete_traits(n, t)
 
 
+def branch_state_pairs(spark, d):
+    n = _nodes(spark, d)
+    return I.branch_state_pairs(I.ancestral_states(n, _aln(spark, d), "joint"), n)
+
+
+def branch_lengths(spark, d):
+    return I.branch_lengths(branch_state_pairs(spark, d))
+
+
+def optimised_trees(spark, d):
+    return I.optimised_trees(_nodes(spark, d), _aln(spark, d))
+
+
+def simulated_alignments(spark, d):
+    return I.simulate_alignments(_nodes(spark, d), 200)
+
+
+def rate_susceptibility(spark, d):
+    n = _nodes(spark, d)
+    return I.rate_susceptibility(n, _dates(spark, d, n))
+
+
+def tree_layout(spark, d):
+    return I.tree_layout(_nodes(spark, d))
+
+
+def coalescent_skyline(spark, d):
+    return I.coalescent_fits(_nodes(spark, d), 5).where(F.size("sky_t") > 0)
+
+
+def reassortment_clades(spark, d):
+    """Labs' countries stand for clades of common history."""
+    n = _nodes(spark, d)
+    m = read(spark, d, "metadata").where("country is not null and name is not null").groupBy("tree_id", "name").agg(F.min("country").alias("c"))
+    m = m.select("tree_id", "name", F.dense_rank().over(Window.partitionBy("tree_id").orderBy("c")).alias("mcc"))
+    return I.reassortment_clades(n, m)
+
+
+def tree_newick(spark, d):
+    from cladeflow.sources.sinks import tree_texts
+
+    return tree_texts(_nodes(spark, d))
+
+
+def tree_nested_json(spark, d):
+    from cladeflow.sources.sinks import tree_texts
+
+    return tree_texts(_nodes(spark, d), "json")
+
+
 _CUR = """
 cur as (
   select tree_id, node_id, parent_id, child_ix, name, is_tip, greatest(coalesce(branch_length, 0), 0) as branch_length from (
@@ -422,5 +472,7 @@ QUERIES = {
         homoplasy_histogram, homoplasy_poisson, homoplasy_strains, rate_statistics, gtr_inferred, path_statistics, equal_rates_transitions,
         lineages_through_time, merger_rate_integral, trait_states, ancestral_marginal, ancestral_joint, ancestral_fitch, clock_best_root,
         clock_min_deviation_root, clock_local_outliers, timetree_joint, timetree_marginal, timetree_full, coalescent_tc, traits_inferred,
+        branch_state_pairs, branch_lengths, optimised_trees, simulated_alignments, rate_susceptibility, tree_layout, coalescent_skyline,
+        reassortment_clades, tree_newick, tree_nested_json,
     )
 }

@@ -96,8 +96,8 @@ def read_resistance(spark: SparkSession, path) -> DataFrame:
 
 def read_mccs(spark: SparkSession, path) -> DataFrame:
     """mcc, taxon: one comma-separated list of taxa per line."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.monotonically_increasing_id().alias("mcc"), F.explode(F.split("value", ",")).alias("taxon"))
-    return lines.select("mcc", F.trim("taxon").alias("taxon"))
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).withColumn("mcc", F.monotonically_increasing_id())
+    return lines.select("mcc", F.explode(F.split("value", ",")).alias("taxon")).select("mcc", F.trim("taxon").alias("taxon"))
 
 
 def read_model(path: str) -> Model:
