@@ -54,35 +54,22 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _signatures(n: int, sketch: int, bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, toks, sizes, maps, leads = [], [], [], [], []
-            for i, text in zip(b["id"], b["text"]):
-                h = np.sort(mix(grams(text, n)))
-                at = h % np.uint64(bits)
-                bitmap = np.zeros(bits // 8, np.uint8)
-                np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                raw, first = bitmap.tobytes(), h[:sketch].view(np.int64)
-                ids += [i] * len(first)
-                toks.append(first)
-                sizes += [len(h)] * len(first)
-                maps += [raw] * len(first)
-                leads += [int(first[0])] * len(first)
-            yield pd.DataFrame(
-                {"token": np.concatenate(toks) if toks else np.empty(0, np.int64), "id": ids, "size": sizes, "lead": leads, "bitmap": maps}
-            ).astype({"id": "int64", "size": "int32", "lead": "int64"})
-
-    return run
-
-
-def _digests(n: int):
+def _sketches(n: int, sketch: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for b in batches:
-            g = [grams(t, n) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in g], "n_grams": [len(x) for x in g]}).astype({"n_grams": "int32"})
+            digests, sizes, tokens, maps = [], [], [], []
+            for text in b["text"]:
+                g = grams(text, n)
+                h = np.sort(mix(g))
+                flags = np.zeros(bits, bool)
+                flags[(h % np.uint64(bits)).astype(np.int64)] = True
+                digests.append(xxhash.xxh3_128_digest(g.tobytes()))
+                sizes.append(len(g))
+                tokens.append(h[:sketch].view(np.int64))
+                maps.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pd.DataFrame({"id": b["id"], "digest": digests, "size": sizes, "tokens": tokens, "bitmap": maps}).astype({"size": "int32"})
 
     return run
 
@@ -241,7 +228,7 @@ def near_duplicates(
     letters; null, empty and shorter texts are not compared and have no class. Rows with a null
     id are ignored, a repeated id counts once (its greatest text). Further columns are ignored;
     an empty df gives empty tables. threshold is the least shared / union as a fraction.
-    bits: length of the bitmaps; None: the power of two at or above 1.5 times the mean set size.
+    bits: length of the bitmaps; None: the power of two at or above 1.5 times the mean number of substrings.
     """
     num, den = threshold
     clean = (
@@ -251,20 +238,24 @@ def near_duplicates(
         .agg(F.max("text").alias("text"))
     )
     clean = materialize(clean, "clean")
-    digests = materialize(clean.mapInPandas(_digests(n), "id bigint, digest binary, n_grams int"), "digests")
-    classes = digests.groupBy("digest").agg(F.min("id").alias("class_id"))
-    left, right, by = salt_hot(digests, classes, ["digest"], "id")
-    members = materialize(left.join(right, by).select("id", "class_id"), "members")
-    reps = materialize(clean.join(members.where("id = class_id").select("id"), "id", "left_semi"), "reps")
-    facts = digests.agg(F.avg("n_grams").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    facts = clean.agg(F.avg(F.length("text") - (n - 1)).alias("m"), F.count(F.lit(1)).alias("n")).first()
     if bits is None:
         bits = 1 << max(8, int(np.ceil(np.log2(1.5 * (facts["m"] or 1)))))
     shards = max(8, int(facts["n"] * sketch / shard_rows) + 1)
-    sig = materialize(
-        reps.mapInPandas(_signatures(n, sketch, bits), "token bigint, id bigint, size int, lead bigint, bitmap binary"), "signatures"
+    every = materialize(
+        clean.mapInPandas(_sketches(n, sketch, bits), "id bigint, digest binary, size int, tokens array<bigint>, bitmap binary"), "sketches"
     )
-    counts = sig.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = sig.join(counts, "token")
+    classes = every.groupBy("digest").agg(F.min("id").alias("class_id"))
+    left, right, by = salt_hot(every.select("id", "digest"), classes, ["digest"], "id")
+    members = materialize(left.join(right, by).select("id", "class_id"), "members")
+    first = members.where("id = class_id").select("id")
+    sig = materialize(every.drop("digest").join(first, "id", "left_semi"), "signatures")
+    # only grams of two or more rows make buckets; bitmaps travel once these are known
+    postings = sig.select("id", F.explode("tokens").alias("token"))
+    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    kept = postings.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("token", "c")).alias("at"))
+    met = sig.join(kept, "id").select("id", "size", "bitmap", F.get("tokens", F.lit(0)).alias("lead"), F.explode("at").alias("x"))
+    met = met.select("id", "size", "lead", "bitmap", "x.token", "x.c")
     shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("string")
     plain = met.where(F.col("c") <= block).select(
         shard.alias("shard"), "token", "id", "size", "lead", "bitmap", F.lit(1).alias("side"), F.lit(False).alias("two_sided")
@@ -286,8 +277,8 @@ def near_duplicates(
         .applyInPandas(_traverse(num, den, fan), "id_1 bigint, id_2 bigint")
         .distinct()
     )
-    one = reps.select(F.col("id").alias("id_1"), F.col("text").alias("text_1"))
-    two = reps.select(F.col("id").alias("id_2"), F.col("text").alias("text_2"))
+    one = clean.select(F.col("id").alias("id_1"), F.col("text").alias("text_1"))
+    two = clean.select(F.col("id").alias("id_2"), F.col("text").alias("text_2"))
     links = (
         pairs.join(two, "id_2")
         .join(one, "id_1")
