@@ -8,7 +8,9 @@ items of scripts without spaces they are runs of GRAM letters and digits.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,10 +27,16 @@ _WORD = re.compile(r"[^\W_]+")
 _SPACELESS = ("zh", "ja")
 
 
+@functools.cache
+def _format_characters() -> dict[int, None]:
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf"}
+
+
 def normal(text: str | None) -> str:
     """NFKC, without format characters, lower case."""
-    t = unicodedata.normalize("NFKC", text or "")
-    return "".join(c for c in t if unicodedata.category(c) != "Cf").lower()
+    if not text or text.isascii():
+        return (text or "").lower()
+    return unicodedata.normalize("NFKC", text).translate(_format_characters()).lower()
 
 
 def words(text: str) -> list[str]:
@@ -39,15 +47,16 @@ def letters(text: str) -> str:
     return "".join(_WORD.findall(text))
 
 
-def _key(kind: str, term: str) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(kind + term))))
+def _key(term: str) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(term))))
 
 
-def _terms(text: str, spaceless: bool) -> list[int]:
+def _terms(text: str, spaceless: bool) -> list[str]:
+    """Words, or the overlapping grams of the letters; a gram is marked, so that it is no word."""
     if spaceless:
         run = letters(text)
-        return [_key("#", run[i : i + GRAM]) for i in range(len(run) - GRAM + 1)]
-    return [_key("w", w) for w in words(text)]
+        return ["#" + run[i : i + GRAM] for i in range(len(run) - GRAM + 1)]
+    return words(text)
 
 
 def _item_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,22 +64,29 @@ def _item_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, lang, text in zip(b["item_id"], b["lang"], b["text"]):
             spaceless = (lang or "").strip().lower()[:2] in _SPACELESS
-            rows += [(i, spaceless, k, t) for k, t in enumerate(_terms(normal(text), spaceless))]
-        yield pd.DataFrame(rows, columns=["item_id", "spaceless", "at", "term"])
+            rows += [(i, spaceless, k, _key(t), t) for k, t in enumerate(_terms(normal(text), spaceless))]
+        yield pd.DataFrame(rows, columns=["item_id", "spaceless", "at", "term", "written"])
+
+
+_ITEM_TERMS = "item_id bigint, spaceless boolean, at int, term bigint, written string"
 
 
 def _postings(vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = None if vocabulary is None else vocabulary.value
+        starts = None if known is None else {t[1] for t in known if t[0] == "#"}
         for b in batches:
             out: list[tuple[int, int, list[int]]] = []
             for i, text in zip(b["doc_id"], b["text"]):
                 t = normal(text)
                 for spaceless in (False, True):
+                    if spaceless and starts is not None and starts.isdisjoint(t):
+                        continue
                     at: dict[int, list[int]] = {}
                     for k, term in enumerate(_terms(t, spaceless)):
-                        if known is None or term in known:
-                            at.setdefault(term, []).append(k)
+                        key = _key(term) if known is None else known.get(term)
+                        if key is not None:
+                            at.setdefault(key, []).append(k)
                     out += [(term, i, p) for term, p in at.items()]
             yield pd.DataFrame(out, columns=["term", "doc_id", "positions"])
 
@@ -85,11 +101,11 @@ def positional_index(docs: DataFrame, terms: DataFrame, broadcast_up_to: int = 5
     """
     schema = "term bigint, doc_id bigint, positions array<int>"
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
-    terms = terms.select("term").distinct()
+    terms = terms.select("term", "written").distinct()
     if terms.limit(broadcast_up_to + 1).count() <= broadcast_up_to:
-        known = src.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()))
+        known = src.sparkSession.sparkContext.broadcast({r["written"]: r["term"] for r in terms.collect()})
         return materialize(src.mapInPandas(_postings(known), schema), "postings")
-    return materialize(src.mapInPandas(_postings(None), schema).join(terms, "term", "left_semi"), "postings")
+    return materialize(src.mapInPandas(_postings(None), schema).join(terms.select("term"), "term", "left_semi"), "postings")
 
 
 def _anchors(n_words: int, n_letters: int, rarest: int):
@@ -161,10 +177,10 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
     one = F.max(F.struct("text", "lang")).alias("x")
     items = items.where("item_id is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(one).select("item_id", "x.text", "x.lang")
-    terms = materialize(items.mapInPandas(_item_terms, "item_id bigint, spaceless boolean, at int, term bigint"), "terms")
+    terms = materialize(items.mapInPandas(_item_terms, _ITEM_TERMS), "terms")
     index = positional_index(docs, terms)
     df = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    anchors = terms.join(df, "term", "left").groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
+    anchors = terms.drop("written").join(df, "term", "left").groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
     anchors = materialize(anchors, "anchors")
     # one lookup per anchor, however many windows share it
     sought = anchors.select("item_id", "spaceless", "at", "term").distinct()
@@ -178,8 +194,9 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     found = full.select("doc_id", "item_id", "shift").distinct().groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
     kinds = terms.groupBy("item_id").agg(F.first("spaceless").alias("spaceless"))
     passages = items.join(kinds, "item_id").select("item_id", "spaceless", F.col("text").alias("passage"))
-    texts = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
-    checked = dimension_join(found.join(texts, "doc_id"), passages, ["item_id"], "doc_id", "inner")
+    # only the texts of documents with candidates are held together by doc_id
+    texts = docs.join(found, "doc_id").groupBy("doc_id", "item_id").agg(F.max("text").alias("text"), F.first("shifts").alias("shifts"))
+    checked = dimension_join(texts, passages, ["item_id"], "doc_id", "inner")
     return checked.select("doc_id", "item_id", "spaceless", "shifts", "text", "passage").mapInPandas(
         _runs(n_words, n_letters), "doc_id bigint, item_id bigint, length int"
     )
@@ -194,10 +211,10 @@ def proximity_matches(docs: DataFrame, items: DataFrame, n_words: int = 12, n_le
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
     items = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "lang", "text").dropDuplicates(["item_id"])
-    terms = materialize(items.mapInPandas(_item_terms, "item_id bigint, spaceless boolean, at int, term bigint"), "terms")
+    terms = materialize(items.mapInPandas(_item_terms, _ITEM_TERMS), "terms")
     index = positional_index(docs, terms)
     df = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    anchors = terms.join(df, "term", "left").fillna(1, ["df"]).groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
+    anchors = terms.drop("written").join(df, "term", "left").fillna(1, ["df"]).groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
     hits = dimension_join(index, anchors, ["term"], "doc_id", "inner").select(
         "doc_id", "item_id", "window", "at", F.explode("positions").alias("p")
     )
