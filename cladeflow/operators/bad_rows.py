@@ -46,6 +46,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """
     src = lines.select("line_id", "file_name", "line_no", "raw_line")
     heads = src.where(F.col("line_no") == 1).groupBy("file_name").agg(F.min_by("raw_line", "line_id").alias("_head"))
+    heads = materialize(heads, "headers")
     rows = src.where(F.coalesce(F.col("line_no") != 1, F.lit(True))).drop("line_no")
     joined = dimension_join(rows, heads, ["file_name"], "line_id")
     return joined.select("line_id", "file_name", "raw_line", "_head").mapInPandas(_parse, _SCHEMA)

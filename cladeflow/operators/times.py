@@ -78,6 +78,7 @@ def normalise_times(
         .applyInPandas(lambda p: _mixtures(p, pseudo), f"source {dict(read.dtypes)['source']}, formats string, format string, posterior double")
         .where(F.col("formats").contains("|"))
     )
+    posteriors = materialize(posteriors, "posteriors")
     single = read.where(F.size("r") < 2).select(
         "_id", "field_name", F.get("r", F.lit(0)).getField("format").alias("format"), F.get("r", F.lit(0)).getField("start_s").alias("start_s"), F.lit(1.0).alias("posterior"),
     )

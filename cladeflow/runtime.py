@@ -108,12 +108,22 @@ def salt_hot(left: DataFrame, right: DataFrame, keys: list[str], row_id: str, ro
     return left, right, [*keys, "_cf_salt"]
 
 
+def is_small(df: DataFrame, rows: int = 50_000, megabytes: int = 16) -> bool:
+    """Whether a table has at most so many rows and so much text; reads no more than rows + 1 of it."""
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return seen["n"] <= rows and seen["b"] <= megabytes * 1_000_000
+
+
 def dimension_join(left: DataFrame, dim: DataFrame, keys: list[str], row_id: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Join of a large table with a table of one small row per key, safe for hot keys.
+    """Join of a large table with a table of one or a few small rows per key, safe for hot keys.
 
-    Every dim row is repeated salts times and a left row looks up the copy of its salt, so
-    that a key with a third of all rows is spread over salts tasks without counting first.
+    dim should be cheap to read (a table on disk): its size is checked, and it is broadcast if
+    is_small. Else every dim row is repeated salts times and a left row looks up the copy of its
+    salt, so that a key with a third of all rows is spread over salts tasks.
     """
+    if is_small(dim):
+        return left.join(F.broadcast(dim), keys, how)
     left = left.withColumn("_cf_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    dim = dim.withColumn("_cf_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dim = dim.withColumn("_cf_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(dim, [*keys, "_cf_salt"], how).drop("_cf_salt")

@@ -45,6 +45,8 @@ def test_skew_helpers(spark):
     dim = spark.range(1, 200).select(F.col("id").cast("long").alias("k"), (F.col("id") * 2).alias("v"))
     want = left.join(dim, "k", "left").count()
     assert dimension_join(left, dim, ["k"], "id").count() == want
+    wide = dim.crossJoin(spark.range(400)).select("k", "v", F.col("id").alias("w"))  # too large to broadcast
+    assert dimension_join(left, wide, ["k"], "id").count() == left.join(wide, "k", "left").count()
     a, b, by = salt_hot(left, dim, ["k"], "id", 10)
     assert a.join(b, by, "left").count() == want and a.select("_cf_salt").distinct().count() > 5
 
