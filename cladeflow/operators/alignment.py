@@ -81,3 +81,22 @@ def distances(letters_wide: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(s1, ["tree_id", "taxon_1"]).join(s2, ["tree_id", "taxon_2"]).where(F.length("_s1") == F.length("_s2")).withColumn("h", h)
     d = F.when(F.col("h.compared") > 0, F.col("h.differ") / F.col("h.compared"))
     return both.select("tree_id", "taxon_1", "taxon_2", "h.differ", "h.compared", S.jukes_cantor(d).alias("distance"))
+
+
+def sparse_positions(variants: DataFrame, n_taxa: int, ambiguous: str = "N") -> DataFrame:
+    """Kind of each position of sparse sequences (taxon, pos, state): pos, kind, states, n.
+
+    variable: two or more states occur, the reference counting where some taxon has it;
+    constant: all taxa have the same other state; ambiguous: beside one state there are only
+    ambiguous letters.
+    """
+    p = variants.groupBy("pos").agg(F.array_sort(F.collect_set("state")).alias("states"), F.count(F.lit(1)).alias("n"))
+    sure = F.filter("states", lambda s: s != ambiguous)
+    seen = F.size(sure) + F.when(F.col("n") < n_taxa, 1).otherwise(0)
+    kind = F.when(seen > 1, "variable").when(F.size(sure) < F.size("states"), "ambiguous").otherwise("constant")
+    return p.select("pos", kind.alias("kind"), "states", "n")
+
+
+def expand_patterns(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Compressed letters (taxon, cpos, state) to all positions of their patterns (cpos, positions)."""
+    return sequences.join(patterns.select("cpos", F.explode("positions").alias("pos")), "cpos").select("taxon", "pos", "state")

@@ -226,3 +226,11 @@ def test_streams(spark, small, tmp_path):
     e = read(spark, small, "events")
     assert drain(event_windows(stream("e", e)), "events_w").agg(F.sum("n")).first()[0] == e.count()
     assert drain(sessions(stream("e", e)), "sessions").count() >= 0
+
+
+def test_sparse_positions(spark):
+    v = spark.createDataFrame([("a", 1, "C"), ("b", 1, "C"), ("c", 1, "C"), ("a", 2, "G"), ("a", 3, "N"), ("b", 4, "T"), ("c", 4, "N")], "taxon string, pos int, state string")
+    assert {r["pos"]: r["kind"] for r in AL.sparse_positions(v, 3).collect()} == {1: "constant", 2: "variable", 3: "ambiguous", 4: "variable"}
+    s = spark.createDataFrame([("a", 0, "A"), ("a", 1, "C")], "taxon string, cpos int, state string")
+    p = spark.createDataFrame([(0, [0, 2]), (1, [1])], "cpos int, positions array<int>")
+    assert {tuple(r) for r in AL.expand_patterns(s, p).collect()} == {("a", 0, "A"), ("a", 1, "C"), ("a", 2, "A")}
