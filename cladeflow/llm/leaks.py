@@ -183,7 +183,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     anchors = terms.drop("written").join(df, "term", "left").groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
     anchors = materialize(anchors, "anchors")
     # one lookup per anchor, however many windows share it
-    sought = anchors.select("item_id", "spaceless", "at", "term").distinct()
+    sought = materialize(anchors.select("item_id", "spaceless", "at", "term").distinct(), "sought")
     hits = dimension_join(index, sought, ["term"], "doc_id", "inner").select(
         "doc_id", "item_id", "at", F.explode("positions").alias("p")
     )
@@ -193,7 +193,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     full = met.groupBy("doc_id", "item_id", "window", "shift", "of").agg(F.count(F.lit(1)).alias("n")).where("n = of")
     found = full.select("doc_id", "item_id", "shift").distinct().groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
     kinds = terms.groupBy("item_id").agg(F.first("spaceless").alias("spaceless"))
-    passages = items.join(kinds, "item_id").select("item_id", "spaceless", F.col("text").alias("passage"))
+    passages = materialize(items.join(kinds, "item_id").select("item_id", "spaceless", F.col("text").alias("passage")), "passages")
     # only the texts of documents with candidates are held together by doc_id
     texts = docs.join(found, "doc_id").groupBy("doc_id", "item_id").agg(F.max("text").alias("text"), F.first("shifts").alias("shifts"))
     checked = dimension_join(texts, passages, ["item_id"], "doc_id", "inner")
@@ -215,6 +215,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, n_words: int = 12, n_le
     index = positional_index(docs, terms)
     df = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
     anchors = terms.drop("written").join(df, "term", "left").fillna(1, ["df"]).groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
+    anchors = materialize(anchors, "anchors")
     hits = dimension_join(index, anchors, ["term"], "doc_id", "inner").select(
         "doc_id", "item_id", "window", "at", F.explode("positions").alias("p")
     )
