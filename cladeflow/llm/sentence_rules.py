@@ -69,9 +69,8 @@ def next_word(text: str, at: int, end: int) -> str:
 
 def is_cased(text: str) -> bool:
     """Whether upper and lower case both occur, so that case can tell something."""
-    low = sum(c.islower() for c in text)
-    up = sum(c.isupper() for c in text)
-    return up > 0 and low > 0 and up < low
+    up = sum(map(str.isupper, text))
+    return up > 0 and up < sum(map(str.islower, text))
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
@@ -378,6 +377,7 @@ def _closed(text: str, s: int, end: int, tail: int) -> int:
     return tail
 
 
+_THAI = re.compile("[฀-๿]")
 _THAI_GAP = re.compile(r"\s+")
 
 
@@ -398,7 +398,7 @@ def sentences(text: str | None, said: dict) -> list[tuple[int, int]]:
     if not text:
         return []
     cased = is_cased(text)
-    thai = any("฀" <= c < "຀" for c in text)
+    thai = _THAI.search(text) is not None
     out = []
     for s, e, dash in blocks(text):
         cuts = [] if dash else boundaries(text, s, e, cased, said)
