@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections import Counter
 
@@ -26,6 +28,7 @@ _TAIL = re.compile(rf"(?:{_CLOSERS}|[   ][»])*(?:[  ]?[{_EMOJI}]+)*")
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*|\n(?=- )")
 _TOKEN = re.compile(r"[^\s()\[\]{}\"'«»„“”‘’¿¡「」『』,;:!?…。！？।，、：—–/]+\Z")
 _WORD = re.compile(r"[^\W_]+")
+_INSIDE = re.compile(r"(?<=[^\W\d_A-Z][ ,])[^\W\d_a-z][^\W_]*|(?<=[^\W\d_A-Z], )[^\W\d_a-z][^\W_]*")
 _NEXT = re.compile(r"[\s\"'«»„“”‘’¿¡(]*([^\W\d_]+(?:[ऀ-ॣ०-ॿ]*))")
 
 
@@ -122,7 +125,9 @@ class Evidence:
     """Counts of one text or of many: what follows dotted tokens, ellipses, quotes and numbers.
 
     Features: c - the sentence goes on, u - a capital or a script without case follows, e - it
-    ends for sure, w - a word without a dot, k - only that the key occurs.
+    ends for sure, w - a word without a dot, k - only that the key occurs, and what counts within
+    one text only: o - lower case follows (also in c), p - a comma or the like follows (also in
+    c), a and l - all sentences that start for sure and those of them in lower case.
     """
 
     def __init__(self) -> None:
@@ -131,6 +136,11 @@ class Evidence:
     def add(self, kind: str, a: str, b: str, feature: str, n: int = 1) -> None:
         self.n[kind, a, b, feature] += n
 
+    def starts(self, word: str) -> None:
+        self.add("i", "", "", "a")
+        if word[0].islower():
+            self.add("i", "", "", "l")
+
     def read(self, text: str) -> None:
         cased = is_cased(text)
         for s, e, dash in blocks(text):
@@ -139,6 +149,7 @@ class Evidence:
             first = next_word(text, s, e)
             if first:
                 self.add("s", first.lower(), "", "e")
+                self.starts(first)
             for m in _RUN.finditer(text, s, e):
                 run, at, end = m[0], m.start(), m.end()
                 tail = _TAIL.match(text, end, e).end()
@@ -158,6 +169,7 @@ class Evidence:
                 if any(c in STRONG for c in run):
                     if w and blank:
                         self.add("s", w.lower(), "", "e")
+                        self.starts(w)
                     continue
                 if closed:
                     continue
@@ -178,13 +190,17 @@ class Evidence:
                     elif blank and "\n" not in text[tail : e - len(rest)]:
                         if follows.isdigit() or follows in ",;:)":
                             self.add("d", t, "", "c")
+                            if not follows.isdigit():
+                                self.add("d", t, "", "p")
                         elif cased and follows.islower():
                             self.add("d", t, "", "c")
+                            self.add("d", t, "", "o")
                             self.add("f", t, w.lower(), "c")
                         elif cased or script(follows or " ") not in ("latin", "other"):
                             self.add("d", t, "", "u")
                     elif nxt and nxt in ",;:":
                         self.add("d", t, "", "c")
+                        self.add("d", t, "", "p")
                 else:
                     t = last_word(text, at, s)
                     if t:
@@ -198,43 +214,94 @@ class Evidence:
                     self.add("d", m[0].lower(), "", "w")
 
 
+def bounds(k: int, n: int) -> tuple[float, float]:
+    """Least and greatest share that k of n cases agree with (Wilson, 95 % on either side)."""
+    z = 2.7  # 1.645 squared
+    mid, half = k + z / 2, math.sqrt(z * (k * (n - k) / n + z / 4)) if n else z / 2
+    return max(0.0, mid - half) / (n + z), min(1.0, (mid + half) / (n + z))
+
+
 def classify(kind: str, a: str, c: int, u: int, e: int, w: int, starts: int) -> str:
-    """What summed counts say: N - abbreviation that never ends a sentence, L - one that goes on in lower case only, F - one that also ends, C - the sentence goes on, '' - nothing special."""
+    """What summed counts say: N - abbreviation that never ends a sentence, L - one that goes on in lower case only, F - one that also ends, C - the sentence goes on, R - a word like others, '' - nothing sure.
+
+    Only shares and what the counts make sure of them are tested, so that a small corpus leaves
+    more undecided and a larger one of the same kind says nothing else.
+    """
     total = c + u + e
+    on, up, end = bounds(c, total), bounds(u, total), bounds(e, total)
     if kind == "d":
         if w > 3 * total:
-            return "R" if c < 0.5 * total or total < 10 else "L"
-        if total < 3:
-            return ""
+            return "L" if on[0] > 0.5 else "R"
         if e <= 0.01 * total:
-            if c >= 0.5 * total or (total >= 30 and (w <= 0.1 * total or len(a) == 1)):
-                return "L" if total >= 20 and u <= 0.02 * total else "N"
-        elif c >= 0.2 * total and w <= total:
+            never = end[1] < 0.1 and (w <= 0.1 * total or len(a) == 1)
+            if (c >= 0.5 * total and on[0] > 0.2) or never:
+                return "L" if u <= 0.02 * total and up[1] < 0.12 else "N"
+        elif c >= 0.2 * total and on[0] > 0.05 and w <= total:
             return "F"
-        return "R" if total >= 10 else ""
+        return "R" if on[1] < 0.25 or (on[1] < 0.5 and w > total) else ""
     if kind == "e":
-        return "C" if c > 0.5 * total else "R" if total >= 3 else ""
+        return "C" if c > 0.5 * total else "R" if on[1] <= 0.5 else ""
     if kind == "f":
         return "C"
     if kind == "n":
-        return "C" if starts == 0 and total >= 2 else "R"
+        return "C" if bounds(starts, starts + total)[1] < 0.6 else "R"
     if kind == "q":
         if c > 0:
             return "C" if c >= u else "R"
-        return "C" if u >= 3 and starts <= 0.02 * u else ""
+        return "C" if starts <= 0.02 * u and bounds(starts, starts + u)[1] < 0.5 else ""
     return ""
 
 
 def merged(own: Evidence, said: dict) -> dict:
-    """Decisions for one text: its own unambiguous occurrences first, then the corpus."""
+    """Decisions for one text: its own unambiguous occurrences first, then the corpus.
+
+    A dot before a comma is unambiguous; one before lower case is if the text surely starts its
+    sentences in capitals. A token that the text has without a dot more often is a word there.
+    """
     out = dict(said)
-    for (kind, a, b, feature), n in own.n.items():
-        short = kind == "d" and feature == "c" and len(a) <= 6
-        if short and (kind, a, b) not in out and not own.n["d", a, "", "w"]:
-            out[kind, a, b] = "F" if own.n["d", a, "", "e"] or own.n["d", a, "", "u"] else "N"
+    formal = bounds(own.n["i", "", "", "l"], own.n["i", "", "", "a"])[1] < 0.5
+    for kind, a, b, feature in list(own.n):
+        if kind != "d" or feature not in "op":
+            continue
+        on = own.n["d", a, "", "p"] + (own.n["d", a, "", "o"] if formal else 0)
+        if on <= own.n["d", a, "", "w"]:
+            continue
+        # a single dot before lower case may be a slip where the corpus is sure of a word
+        slip = not own.n["d", a, "", "p"] and bounds(on, on + own.n["d", a, "", "w"])[0] < 0.4
+        if slip and said.get(("d", a, "")) == "R":
+            continue
+        if own.n["d", a, "", "e"]:
+            out["d", a, ""] = "F"
+        elif out.get(("d", a, ""), "R") == "R":
+            out["d", a, ""] = "F" if own.n["d", a, "", "u"] else "N"
+    for kind, a, b, feature in list(own.n):
+        if kind == "s":
+            out["s", a, ""] = "S"
     return out
 
 
+class Names:
+    """Which words of a text are proper names: counts of capitals within sentences and of lower case."""
+
+    def __init__(self, text: str, said: dict) -> None:
+        self.text, self.said = text, said
+
+    @functools.cached_property
+    def counts(self) -> tuple[Counter, Counter]:
+        return Counter(m[0].lower() for m in _INSIDE.finditer(self.text)), Counter(m[0] for m in _WORD.finditer(self.text) if m[0][0].islower())
+
+    def is_name(self, word: str) -> bool:
+        """The text has it in capitals where no sentence can start, never in lower case, and never starts a sentence with it for sure; a lone letter is none."""
+        inside, lower = self.counts
+        w = word.lower()
+        return len(w) > 1 and inside[w] > 0 and not lower[w] and ("s", w, "") not in self.said
+
+    def is_common(self, word: str) -> bool:
+        """The text has it in lower case and never in capitals within a sentence."""
+        inside, lower = self.counts
+        return lower[word.lower()] > 0 and not inside[word.lower()]
+
+
 def wanted(own: Evidence) -> list[tuple[str, str, str]]:
     """The keys that a text would look up."""
     return sorted({(k, a, b) for (k, a, b, f) in own.n if k in "denqf" and f != "w"})
@@ -289,6 +356,7 @@ def _goes_on(text: str, o: int, k: int, s: int, e: int, cased: bool, said: dict)
 
 def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
     """Ends of sentences within a block."""
+    names = Names(text, said)
     held = [(o, k) for o, k in spans(text, s, e) if _goes_on(text, o, k, s, e, cased, said)]
     out = []
     for m in _RUN.finditer(text, s, e):
@@ -342,9 +410,13 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
                 out.append(tail)
                 continue
             a = _abbreviation(t, said)
-            if a == "N" or (a == "L" and not (cased and w[:1].isupper() and not _capitals(w))):
+            # a capital tells nothing where the text shows that the word is a name, all where it shows that it is none
+            capital = a in ("L", "F") and cased and w[:1].isupper() and not _capitals(w)
+            if capital and names.is_name(w):
+                continue
+            if a == "N" or (a == "L" and not capital):
                 continue
-            if a == "F":
+            if a == "F" and not (capital and names.is_common(w)):
                 if follows.isdigit() or said.get(("f", t, w.lower())) == "C" or (cased and follows.islower()):
                     continue
             out.append(tail)

@@ -25,7 +25,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> pd.DataFrame:
         rows: dict = {}
         for (kind, a, b, f), n in ev.n.items():
-            if f == "k":
+            if f not in _FEATURES:
                 continue
             rows.setdefault((kind, a, b), dict.fromkeys(_FEATURES, 0))[f] += n
         ev.n.clear()

@@ -216,6 +216,36 @@ def test_sentence_rules(parts, sep):
     assert split(sep.join(parts), {("n", "mai", ""): "C", ("q", "disait", ""): "C"}) == parts
 
 
+def test_own_evidence_before_corpus():
+    said = {("d", "quantific", ""): "R", ("d", "vol", ""): "R"}
+    # the text shows that the token is an abbreviation, whatever the corpus says and however long it is
+    assert split("The quantific., as they say, is old. He read vol., too. See vol. 9 of it.", said) == ["The quantific., as they say, is old.", "He read vol., too.", "See vol. 9 of it."]
+    twice = "Ah! Well! Now! The quantific. value rose. A quantific. value fell. Each quantific. Value counts."
+    assert split(twice, said)[3:] == ["The quantific. value rose.", "A quantific. value fell.", "Each quantific.", "Value counts."]
+    # lower case shows nothing in a text that starts sentences so
+    assert split("It fell. so what! it broke. then it fell. and so on! no.", {})[:2] == ["It fell.", "so what!"]
+    # a text that has it as a word keeps the corpus decision
+    assert split("The vol of vol is vol. Vol., he said.", said)[0] == "The vol of vol is vol."
+
+
+def test_names_after_abbreviations():
+    said = {("d", "p.m", ""): "F", ("f", "p.m", "then"): "C", ("d", "approx", ""): "L"}
+    assert split("We saw Velmar there. At 9 p.m. Velmar left.", said) == ["We saw Velmar there.", "At 9 p.m. Velmar left."]
+    assert split("At 9 p.m. Velmar left.", said) == ["At 9 p.m.", "Velmar left."]
+    assert split("It broke and then fell. It came at 9 p.m. Then it broke.", said)[-1] == "Then it broke."
+    assert split("We saw Velmar! Velmar saw us. At 9 p.m. Velmar left.", said)[-1] == "Velmar left."
+    assert split("Near Ottavar it is approx. Ottavar size.", said) == ["Near Ottavar it is approx. Ottavar size."]
+    assert split("As we and I know, it came at 9 p.m. I left.", said)[-1] == "I left."
+
+
+def test_decisions_alike_at_every_size():
+    # shares that are as sure at each size give one decision; a sure one never turns with more of the same
+    for c, u, e, w in [(20, 0, 0, 0), (0, 30, 0, 0), (10, 0, 0, 200), (5, 0, 5, 5), (0, 10, 5, 40), (0, 20, 5, 3)]:
+        got = [R.classify("d", "xy", c * k, u * k, e * k, w * k, 0) for k in (1, 10, 1000)]
+        assert got[0] and len(set(got)) == 1, (c, u, e, w, got)
+    assert [R.classify("n", "mai", 100 * k, 0, 0, 0, k) for k in (1, 10, 1000)] == ["C"] * 3
+
+
 def test_sentence_units(spark):
     rows = [(1, "One. Two!"), (2, None), (3, ""), (4, " \n "), (5, "no mark"), (6, "Ab. " * 20_000), (None, "x."), (1, "One. Two!")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kind", F.lit("clash")).withColumn("said", F.lit(1))
