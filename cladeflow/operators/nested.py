@@ -4,14 +4,19 @@ Everything is a projection: a record's tree is walked level by level with nested
 calls that attach the ancestor's path and the child's index, ``flatten`` joins the arrays of a
 level, and one ``inline`` per target table emits the rows. The levels are the steps of one
 ``aggregate`` over a sequence as long as the record could be deep, which does nothing once a
-level is empty: any depth in one projection, without a shuffle.
+level is empty: all levels in one projection, without a shuffle. The SQL parser refuses more than
+1,000 levels of brackets; what it rejects and could be that deep is read with an explicit stack.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.kernels import nested_text as N
 from cladeflow.runtime import materialize
 
 _NODE = (
@@ -34,6 +39,42 @@ def whole_json(col: str) -> Column:
     )
 
 
+def rejected(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
+    """(record_id, text) of the texts that the SQL parser rejects and that may only be too deep or too long for it."""
+    c = F.col(json_col)
+    opened = F.length(c) - F.length(F.translate(c, "{[", ""))
+    # the parse is repeated for such texts only
+    doubtful = F.when((opened >= 900) | (F.length(c) >= 1_000_000), whole_json(json_col).isNull())
+    return df.select(F.col(record_id).alias("record_id"), c.alias("text")).where(doubtful)
+
+
+def _deep_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cols = ["record_id", "path", "owner", "text"]
+    for b in batches:
+        for i, text in zip(b["record_id"], b["text"]):
+            if not N.is_whole(text):
+                continue
+            rows, size = [], 0
+            for node in N.tree_nodes(text):
+                rows.append((i, *node))
+                size += sum(map(len, node))
+                if size > 4_000_000:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
+
+
+def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        b = b[b["text"].map(N.is_whole).astype(bool)]
+        yield b.assign(text=b["text"].map(N.pruned))
+
+
+def _id_type(df: DataFrame) -> str:
+    return f"record_id {df.schema['record_id'].dataType.simpleString()}"
+
+
 def _node(v: Column, path: Column, owner: Column) -> Column:
     return F.struct(
         path.alias("path"),
@@ -88,7 +129,7 @@ def tree_levels(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
 
     Nulls, empty and damaged texts and records without a tree give no rows. A text with a
     duplicated key in one object counts as damaged. Repeated records are kept apart only by
-    their record_id.
+    their record_id. A record that is too deep for the SQL parser has a row per node.
     """
     doc = whole_json(json_col)
     # no tree is deeper than its text has opening braces
@@ -112,7 +153,12 @@ def tree_levels(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
         return F.when(F.size(a["at"]) == 0, a).otherwise(deeper)
 
     walked = F.aggregate(F.sequence(F.lit(0), F.col("_most")), start, step, lambda a: a["rows"])
-    return materialize(at.select("record_id", walked.alias("nodes")), "levels")
+    out = at.select("record_id", walked.alias("nodes"))
+    deep = rejected(df, record_id, json_col)
+    deep = deep.mapInPandas(_deep_nodes, f"{_id_type(deep)}, path string, owner string, text string")
+    node = _node(F.expr("try_parse_json(text)"), F.col("path"), F.col("owner"))
+    deep = deep.select("record_id", node.alias("n")).select("record_id", F.array(_row(F.col("n"))).cast(rows).alias("nodes"))
+    return materialize(out.unionByName(deep), "levels")
 
 
 def node_table(levels: DataFrame) -> DataFrame:
@@ -146,6 +192,9 @@ def taxon_items(df: DataFrame, record_id: str, json_col: str, value_name: str) -
     """
     site = f"struct<pos:string,{value_name}:string>"
     src = df.select(F.col(record_id).alias("record_id"), whole_json(json_col).alias("_d")).where(F.col("_d").isNotNull())
+    deep = rejected(df, record_id, json_col)
+    deep = deep.mapInPandas(_pruned, f"{_id_type(deep)}, text string").select("record_id", F.expr("try_parse_json(text)").alias("_d"))
+    src = src.unionByName(deep.where(F.col("_d").isNotNull()))
     get = lambda kind: F.try_variant_get("_d", "$", kind)
     listed, listed_one = f"struct<taxon:string,sites:array<{site}>>", f"struct<taxon:string,sites:{site}>"
     src = src.select(

@@ -129,6 +129,42 @@ def test_orphans(spark):
     assert orphans(refs, targets.limit(0), ["k1", "k2"], "id", "at").where("reason = 'missing'").count() == 6
 
 
+def _ladder(n):
+    """Text of a ladder of n levels, with mutations; made without recursion."""
+    head = '{"name": "n%d", "branch_attrs": {"mutations": {"nuc": ["A%dT", null, "A%dT"], "g": "x"}}, "children": [null, '
+    return '{"tree": ' + "".join(head % (k, k + 1, k + 1) for k in range(n)) + '{"na\\u006de": "tip", "node_attrs": {"div": 0.5}}' + "]}" * n + "}"
+
+
+def test_nested_beyond_the_parser(spark):
+    n = 700
+    deep = _ladder(n)
+    shallow = _ladder(6)
+    sites = '{"x": {"5": "A"}, "y": ' + "[" * 1500 + "]" * 1500 + "}"
+    rows = [
+        (1, "t", deep, sites, None, None, None), (2, "t", deep[:-1], sites[:-1], None, None, None), (3, "t", deep + " x", None, None, None, None),
+        (4, "t", deep.replace('"name": "n9"', '"name": "n9", "name": "n9"'), None, None, None, None), (5, "t", shallow, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, RECORDS)
+    got = [tuple(r) for r in record_items(df).collect()]
+    path = lambda k: ".".join(["0"] + ["1"] * k)
+    want = lambda i, n: [(i, "node", path(k - 1) if k else "", path(k)) for k in range(n + 1)] + [(i, "mutation", path(k), m) for k in range(n) for m in (f"nuc:A{k + 1}T", "g:x")]
+    assert sorted(got) == sorted(want(1, n) + want(5, 6) + [(1, "site", "x", "5:A")])
+    names = {r["path"]: (r["name"], r["node_attrs"]) for r in flatten_records(df)["nodes"].where("record_id = 1").collect()}
+    assert names[path(n)] == ("tip", '{"div":0.5}') and names["0"] == ("n0", None)
+
+
+def test_nested_text_agrees_with_json():
+    from cladeflow.kernels import nested_text as N
+
+    for text in ("{}", " [1, -0.5e3, true, null, {\"a\": []}] ", '"x"', '"\\u00e9\\n"', "0", "[[],{}]", '{"a": {"a": 1}}'):
+        assert N.is_whole(text) and json.loads(text) is not NotImplemented, text
+        assert json.loads(N.pruned(text)) == json.loads(text)
+    for text in ("", " ", "{", "[1,]", "[1 2]", "01", "{a: 1}", '{"a" 1}', '{"a": 1,}', "NaN", "nul", '"\t"', '"\\x"', "[1]]", "{]", '{"a":1,"a":2}', '{"a":1,"\\u0061":2}', "1 1", ","):
+        assert not N.is_whole(text), text
+    lists = list(N.tree_nodes('{"x": {"children": [{}]}, "tree": [{"name": "a", "children": {"b": [{"children": [{}]}], "children": "c"}}, null, {}]}'))
+    assert lists == [("0.0", "0", '{"b":[{"children": [{}]}]}'), ("0", "", '{"name":"a"}'), ("2", "", "{}")]
+
+
 @pytest.mark.parametrize("name", sorted(record_queries.SQL))
 def test_record_sql(compare, name):
     compare(record_queries.QUERIES[name], record_queries.SQL[name])
