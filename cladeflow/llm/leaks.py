@@ -129,13 +129,13 @@ def _anchors(n_words: int, n_letters: int, rarest: int):
                     order.append(w + k)
                 if len(order) == rarest:
                     break
-            rows += [(pdf["item_id"].iloc[0], spaceless, w, int(k), term[k], len(order)) for k in order]
-        return pd.DataFrame(rows, columns=["item_id", "spaceless", "window", "at", "term", "of"])
+            rows += [(pdf["item_id"].iloc[0], spaceless, w, int(k), term[k], len(order), 1 << min(r, 62)) for r, k in enumerate(order)]
+        return pd.DataFrame(rows, columns=["item_id", "spaceless", "window", "at", "term", "of", "bit"])
 
     return run
 
 
-_ANCHOR = "item_id bigint, spaceless boolean, window int, at int, term bigint, of int"
+_ANCHOR = "item_id bigint, spaceless boolean, window int, at int, term bigint, of int, bit bigint"
 
 
 def _runs(n_words: int, n_letters: int):
@@ -180,6 +180,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     terms = materialize(items.mapInPandas(_item_terms, _ITEM_TERMS), "terms")
     index = positional_index(docs, terms)
     df = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
+    rarest = min(rarest, 62)  # one bit each; fewer anchors lose nothing
     anchors = terms.drop("written").join(df, "term", "left").groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
     anchors = materialize(anchors, "anchors")
     # one lookup per anchor, however many windows share it
@@ -188,9 +189,9 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
         "doc_id", "item_id", "at", F.explode("positions").alias("p")
     )
     hits = hits.select("doc_id", "item_id", "at", (F.col("p") - F.col("at")).alias("shift"))
-    # the shifted lists of the anchors of a window intersect
-    met = dimension_join(hits, anchors.select("item_id", "at", "window", "of"), ["item_id", "at"], "doc_id", "inner")
-    full = met.groupBy("doc_id", "item_id", "window", "shift", "of").agg(F.count(F.lit(1)).alias("n")).where("n = of")
+    # the shifted lists of the anchors of a window intersect; rows of a repeated doc_id are met once
+    met = dimension_join(hits, anchors.select("item_id", "at", "window", "of", "bit"), ["item_id", "at"], "doc_id", "inner")
+    full = met.groupBy("doc_id", "item_id", "window", "shift", "of").agg(F.bit_count(F.bit_or("bit")).alias("n")).where("n = of")
     found = full.select("doc_id", "item_id", "shift").distinct().groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
     kinds = terms.groupBy("item_id").agg(F.first("spaceless").alias("spaceless"))
     passages = materialize(items.join(kinds, "item_id").select("item_id", "spaceless", F.col("text").alias("passage")), "passages")

@@ -161,6 +161,16 @@ def test_leaks_brute_force(spark):
     assert {x for x in want if x[1] != 23} <= near
 
 
+def test_leaks_of_repeated_documents(spark):
+    passage = " ".join(f"w{k}" for k in range(14))
+    items = spark.createDataFrame([(1, "en", passage), (2, "zh", "".join(chr(0x4E00 + k) for k in range(30)))], "item_id bigint, lang string, text string")
+    zh = "".join(chr(0x4E00 + k) for k in range(26))
+    docs = [(1, "a " + passage)] * 2 + [(2, "b " + passage)] + [(3, "a"), (3, "x y z " + passage)] + [(4, "a " + passage), (4, "z")] + [(5, zh)] * 3 + [(6, passage), (6, "z " + passage)]
+    got = leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), items)
+    # the greatest text of a doc_id counts: that of 4 has no leak
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 14), (2, 1, 14), (3, 1, 14), (5, 2, 26), (6, 1, 14)]
+
+
 # p8
 def test_mixing(spark):
     rng = random.Random(5)
