@@ -112,8 +112,9 @@ def mix_sources(
     actual_share, most_repeats, max_repeats.
     Documents without a source get posteriors over the target sources from a classifier that
     is fitted to a bounded sample of labelled rows; posteriors are rounded to 1 / grid. Their
-    cap is the least max_repeats of any source they may be from. Sources without a target are
-    not drawn. total_tokens None: the most at which every source with documents reaches its share.
+    cap is the least max_repeats above 0 of all target sources, and 0 if they may be from one
+    whose max_repeats is 0 or from no target source.
+    Documents of sources without a target are not drawn; that part of a posterior only counts. total_tokens None: the most at which every source with documents reaches its share.
     The rates solve a least-squares fit of expected tokens per source to the targets by
     projected gradient steps over all documents; documents of equal posterior and cap are one
     group, summed before the steps. Rates become whole repeats by a hash of doc_id.
@@ -133,9 +134,14 @@ def mix_sources(
         src.mapInPandas(_measure(tokenizer, weights, classes, grid), "doc_id bigint, source string, class string, n_tokens bigint, posterior array<double>"),
         "measured",
     )
-    cap_list = F.array(*[F.lit(float(c)) for c in caps])
-    may = F.filter(F.arrays_zip(F.col("posterior").alias("p"), cap_list.alias("m")), lambda x: x["p"] > 0)
-    capped = measured.withColumn("cap", F.array_min(F.transform(may, lambda x: x["m"])))
+    # OTHER has no cap of its own: it counts through the posterior
+    cap_list = F.array(*[F.lit(float(c)) for c in caps[:-1]]).cast("array<double>")
+    target_part = F.slice("posterior", 1, len(classes) - 1)
+    may = F.filter(F.arrays_zip(target_part.alias("p"), cap_list.alias("m")), lambda x: x["p"] > 0)
+    cap = F.coalesce(F.array_min(F.transform(may, lambda x: x["m"])), F.lit(0.0))
+    # a posterior rounded to 0 still leaves a source possible: without a class the least cap of any holds
+    least = float(min((c for c in caps[:-1] if c > 0), default=0.0))
+    capped = measured.withColumn("cap", F.when(F.col("class").isNull(), F.least(cap, F.lit(least))).otherwise(cap))
     groups = materialize(capped.groupBy("posterior", "cap").agg(F.sum("n_tokens").cast("double").alias("t")), "groups")
 
     def totals(rate: Column) -> np.ndarray:

@@ -198,6 +198,27 @@ def test_mixing(spark):
     assert mix_sources(docs, goal.limit(0))[0].agg(F.sum("repeats")).first()[0] == 0
 
 
+def test_mixing_with_a_common_source_without_target(spark):
+    rng = random.Random(6)
+    kinds = {"a": ["alpha", "beta", "gamma"], "b": ["delta", "eps", "zeta"], "other": ["eta", "theta", "beta", "eps"]}
+    rows, at = [], 0
+    for src, n, like in (("a", 100, "a"), ("b", 60, "b"), ("other", 400, "other"), (None, 40, "a"), (None, 30, "b"), (None, 30, "other")):
+        for _ in range(n):
+            at += 1
+            rows.append((at, " ".join(rng.choices(kinds[like], k=rng.randrange(8, 40))), "en", src))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    goal = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    draws, shares = mix_sources(docs, goal)
+    d = {r["doc_id"]: r for r in draws.collect()}
+    drawn = lambda lo, n: sum(d[k]["repeats"] > 0 for k in range(lo, lo + n))
+    assert drawn(561, 40) >= 30 and drawn(601, 30) >= 20  # like the targets
+    assert drawn(631, 30) <= 5 and drawn(161, 400) == 0  # like the source without a target
+    assert all(r["repeats"] <= (3 if r["source"] == "b" else 2) for r in d.values() if r["source"])
+    assert all(r["repeats"] <= 3 for r in d.values())
+    s = {r["source"]: r for r in shares.collect()}
+    assert s["a"]["actual_share"] == pytest.approx(0.6, abs=0.06) and s["b"]["actual_share"] == pytest.approx(0.4, abs=0.06)
+
+
 # p9
 def split(text, said=None):
     ev = R.Evidence()
