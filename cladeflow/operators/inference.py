@@ -163,7 +163,7 @@ def local_outliers(nodes: DataFrame, dates: DataFrame, sites: int = 1000, z_most
 _TIME = "tree_id string, root_id int, node_id int, name string, date double, lower double, upper double, rate_factor double, log_lh double"
 
 
-def _time(sites: float, marginal: bool, rate: float | None, grid: int, relax: tuple[float, float] | None, coalescent: bool, resolve: bool, confidence: float):
+def _time(sites: float, marginal: bool, rate: float | None, grid: int, relax: tuple[float, float] | None, coalescent: bool | float | str, resolve: bool, confidence: float):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         out, om = [], 1 / sites
         for tree in _trees(p):
@@ -192,11 +192,17 @@ def _time(sites: float, marginal: bool, rate: float | None, grid: int, relax: tu
             if coalescent and len(tree) > 2:
                 co = Coalescent(tree, times.max() - times)
                 tc, latest = max(co.best_tc(), 1e-6), times.max()
+                if coalescent == "skyline":
+                    x, y = co.skyline(20)
+                    tc = lambda t, x=x, y=y: np.exp(np.interp(t, x, np.log(y)))
+                elif coalescent is not True:
+                    tc = coalescent / slope  # given in branch lengths, times are years
 
                 def merger(g, k, co=co, tc=tc, latest=latest):
                     tbp = np.maximum(0, latest - g)
+                    at_g = tc(tbp) if callable(tc) else tc
                     n = np.maximum(0.5, co.lineages(tbp) - 1)
-                    return (k - 1) * (co.integral(tbp, tc) - np.log(0.5 * n * (n + 1) / tc))
+                    return (k - 1) * (co.integral(tbp, tc) - np.log(0.5 * n * (n + 1) / at_g))
 
             if relax:
                 years = np.r_[0, np.maximum(0, times[1:] - times[tree.parent[1:]])]
@@ -223,12 +229,13 @@ def _time(sites: float, marginal: bool, rate: float | None, grid: int, relax: tu
 
 def time_trees(
     nodes: DataFrame, dates: DataFrame, sites: int = 1000, marginal: bool = False, rate: float | None = None, grid: int = 200,
-    relax: tuple[float, float] | None = None, coalescent: bool = False, resolve: bool = False, confidence: float = 0.9,
+    relax: tuple[float, float] | None = None, coalescent: bool | float | str = False, resolve: bool = False, confidence: float = 0.9,
 ) -> DataFrame:
     """Dates of all nodes per tree: joint best times, or marginal means with a confidence region.
 
-    relax: (slack, coupling) of autocorrelated branch rates; coalescent: merger costs with the
-    best constant Tc; resolve: polytomies are resolved greedily first. Trees with fewer than
+    relax: (slack, coupling) of autocorrelated branch rates; coalescent: merger costs, True with
+    the best constant Tc, a number with that Tc in branch lengths, "skyline" with a piecewise
+    linear Tc of 20 pivots; resolve: polytomies are resolved greedily first. Trees with fewer than
     three dated tips are left out. Nodes made by resolving have no node_id.
     """
     d = nodes.select(*NODE_COLUMNS).join(dates.select("tree_id", "node_id", "lo", "hi"), ["tree_id", "node_id"], "left")

@@ -79,11 +79,28 @@ def run_clock(spark: SparkSession, a) -> None:
     sinks.write_table(I.local_outliers(nodes, dates, sites, a.clock_filter), os.path.join(a.outdir, "outliers"))
 
 
+def coalescent_model(given: str) -> bool | float | str:
+    """What --coalescent asks for: none, the best constant Tc (const, opt), skyline or a Tc in branch lengths."""
+    if given in ("", "const", "opt"):
+        return bool(given)
+    if given == "skyline":
+        return given
+    try:
+        tc = float(given)
+    except ValueError:
+        tc = float("nan")
+    if tc == 0:
+        return False
+    if not 0 < tc < float("inf"):
+        raise SystemExit(f"--coalescent {given}: const, opt, skyline or a Tc is needed, 0 for none")
+    return tc
+
+
 def run_timetree(spark: SparkSession, a) -> None:
     nodes = _nodes(spark, a)
     t = I.time_trees(
         nodes, _dates(spark, a, nodes), a.sequence_length or 1000, a.confidence, a.clock_rate, relax=tuple(a.relax) if a.relax else None,
-        coalescent=bool(a.coalescent), resolve=not a.keep_polytomies,
+        coalescent=coalescent_model(a.coalescent), resolve=not a.keep_polytomies,
     )
     t = materialize(t, "times")
     sinks.write_table(t.select(F.col("name").alias("node"), F.col("date").alias("numeric date"), "lower", "upper"), os.path.join(a.outdir, "dates"))

@@ -193,6 +193,24 @@ def test_text_formats(spark, tmp_path):
     assert "Begin Trees" in sinks.tree_texts(n, "nexus", ["level"]).first()["text"]
 
 
+def test_coalescent_option(spark, tmp_path):
+    (tmp_path / "t.nwk").write_text("(((A:0.02,B:0.03):0.01,C:0.05):0.01,(D:0.06,E:0.08):0.01);")
+    (tmp_path / "d.csv").write_text("name,date\nA,2003\nB,2004\nC,2005.4\nD,2006.5\nE,2008.5\n")
+    arg = ["timetree", "--tree", str(tmp_path / "t.nwk"), "--dates", str(tmp_path / "d.csv"), "--sequence-length", "200", "--keep-polytomies"]
+    dates = {}
+    for given in ("", "opt", "0.001", "5", "skyline"):
+        out = tmp_path / f"c{given}"
+        assert jobs.main([*arg, "--outdir", str(out), "--coalescent", given], spark) == 0
+        dates[given] = sorted(tuple(r) for r in spark.read.csv(str(out / "dates"), header=True, sep="\t").collect())
+    assert dates["0.001"] != dates["5"] and dates["0.001"] != dates["opt"]  # the given Tc counts
+    root = lambda k: min(float(r[1]) for r in dates[k])
+    assert root("0.001") > root("5")  # a small Tc draws mergers together
+    assert jobs.coalescent_model("0.0") is False and jobs.coalescent_model("opt") is True and jobs.coalescent_model("skyline") == "skyline"
+    for wrong in ("x", "-1", "nan", "inf"):
+        with pytest.raises(SystemExit):
+            jobs.coalescent_model(wrong)
+
+
 def test_jobs(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = "".join(rng.choice(list("ACGT"), 200))
