@@ -17,9 +17,9 @@ def events(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(event, start, end, key) of one JSON value; ValueError where the text is none as a whole.
 
     Events: { [ - a container opens, } ] - it closes (start is that of its opening), v - any
-    other value. key is that of the member of an object, else "". A duplicated key is an error.
+    other value. key is that of the member of an object, else "".
     """
-    stack: list[tuple[str, int, str, set]] = []
+    stack: list[tuple[str, int, str]] = []
     i = _SKIP.match(text).end()
     while True:
         # a value
@@ -29,9 +29,6 @@ def events(text: str) -> Iterator[tuple[str, int, int, str]]:
             if not m:
                 raise ValueError(i)
             key = json.loads(m[0]) if "\\" in m[0] else m[0][1:-1]
-            if key in stack[-1][3]:
-                raise ValueError(i)
-            stack[-1][3].add(key)
             i = _SKIP.match(text, m.end()).end()
             if text[i : i + 1] != ":":
                 raise ValueError(i)
@@ -39,7 +36,7 @@ def events(text: str) -> Iterator[tuple[str, int, int, str]]:
         c = text[i : i + 1]
         if c and c in "{[":
             yield c, at, at + 1, key
-            stack.append((c, at, key, set()))
+            stack.append((c, at, key))
             i = _SKIP.match(text, i + 1).end()
             if text[i : i + 1] != ("}" if c == "{" else "]"):
                 continue
@@ -51,7 +48,7 @@ def events(text: str) -> Iterator[tuple[str, int, int, str]]:
             i = _SKIP.match(text, m.end()).end()
         # what follows a value
         while stack and text[i : i + 1] == ("}" if stack[-1][0] == "{" else "]"):
-            _, start, key, _ = stack.pop()
+            _, start, key = stack.pop()
             yield text[i], start, i + 1, key
             i = _SKIP.match(text, i + 1).end()
         if not stack:
@@ -64,7 +61,7 @@ def events(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 
 def is_whole(text: str) -> bool:
-    """Whether a text is one valid JSON value as a whole, without duplicated keys."""
+    """Whether a text is one valid JSON value as a whole."""
     try:
         for _ in events(text):
             pass
@@ -73,9 +70,14 @@ def is_whole(text: str) -> bool:
     return True
 
 
-def tree_nodes(text: str) -> Iterator[tuple[str, str, str]]:
-    """(path, path of the parent, JSON of the node without its children) of a valid text, children first."""
-    # per open container: what it is (doc, node, list of nodes or other), entries so far, members of a node
+def tree_nodes(text: str) -> list[tuple[str, str, str]]:
+    """(path, path of the parent, JSON of the node without its children) of a valid text, children first.
+
+    Of repeated keys in one object the last counts.
+    """
+    out: list[tuple[str, str, str]] = []
+    # per open container: what it is (doc, node, list of nodes or other), entries so far, members of a node,
+    # rows before those of its tree or children
     stack: list[list] = []
     at: list[str] = []
     deepest = 0
@@ -86,6 +88,8 @@ def tree_nodes(text: str) -> Iterator[tuple[str, str, str]]:
                 kind = "doc" if event == "{" else "other"
             elif (up[0] == "doc" and key == "tree") or (up[0] == "node" and key == "children"):
                 kind, index = ("node", 0) if event == "{" else ("list", 0)
+                del out[up[3] if up[3] is not None else len(out) :]
+                up[3] = len(out)
             elif up[0] == "list":
                 kind, index = "node" if event == "{" else "other", up[1]
                 up[1] += 1
@@ -99,15 +103,16 @@ def tree_nodes(text: str) -> Iterator[tuple[str, str, str]]:
                 at.append(str(index))
             if up and up[0] == "node":
                 deepest = len(stack)
-            stack.append([kind, 0, []])
+            stack.append([kind, 0, [], None])
             deepest = max(deepest, len(stack))
             continue
-        kind, _, members = stack.pop()
+        kind, _, members, _ = stack.pop()
         if kind == "node":
-            yield ".".join(at), ".".join(at[:-1]), "{" + ",".join(members) + "}"
+            out.append((".".join(at), ".".join(at[:-1]), "{" + ",".join(members) + "}"))
             at.pop()
         elif kind == "other" and stack and stack[-1][0] == "node":
             stack[-1][2].append(f"{json.dumps(key)}:{text[start:end] if deepest - len(stack) <= MOST else 'null'}")
+    return out
 
 
 def pruned(text: str) -> str:

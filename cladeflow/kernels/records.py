@@ -19,44 +19,67 @@ csv.field_size_limit(min(sys.maxsize, 2**31 - 1))
 
 
 @functools.lru_cache(maxsize=64)
-def _field(sep: str) -> re.Pattern:
-    s = re.escape(sep)
-    return re.compile(f' *"((?:[^"]|"")*)" *(?={s}|\\Z)|([^"{s}]*)(?={s}|\\Z)', re.DOTALL)
-
-
-def _scan(rec: str, sep: str) -> list[str] | None:
-    """Fields by the exact quoting rules; None where they are broken."""
-    out, at, pat = [], 0, _field(sep)
-    while True:
-        m = pat.match(rec, at)
-        if not m:
-            return None
-        out.append(m[1].replace('""', '"') if m[1] is not None else m[2].strip(" "))
-        at = m.end()
-        if at == len(rec):
-            return out
+def _after_quote(sep: str) -> re.Pattern:
+    return re.compile(f'"( *)(?={re.escape(sep)}|\\Z)|"')
+
+
+def _tidy(rec: str, sep: str) -> str:
+    """Without the blanks between a closing quote and the separator or end; the csv reader knows none there.
+
+    A quote closes a field if the quotes up to it are even in number.
+    """
+    out, at, even = [], 0, True
+    for m in _after_quote(sep).finditer(rec):
+        even = not even
+        if even and m[1]:
+            out.append(rec[at : m.start() + 1])
+            at = m.end()
+    return "".join([*out, rec[at:]])
+
+
+def _stray(fields: list[str], rec: str, sep: str) -> bool:
+    """Whether the reader has let a quote pass in a field that does not open with one."""
+    at = 0
+    for f in fields:
+        while rec[at : at + 1] == " " and sep != " ":
+            at += 1
+        if rec[at : at + 1] == '"':
+            at += len(f) + f.count('"') + 2
+        elif '"' in f:
+            return True
+        else:
+            at += len(f)
         at += len(sep)
+    return False
 
 
 def split_record(rec: str, sep: str) -> tuple[list[str] | None, str | None]:
-    """(fields, None), or (None, the csv reader's message) of a record that breaks the quoting.
+    """(fields, None), or (None, what the csv reader said) of a record that breaks the quoting.
 
-    The strict csv reader parses first. What it refuses, and every record with a quote, is
-    settled by an exact scan, as the reader knows no blanks around quoted fields and lets stray
-    quotes pass. One trailing carriage return and blanks around fields are ignored.
+    The fields are those of the strict csv reader and its structural exceptions are captured.
+    Blanks after a closing quote are taken out before it, and line breaks, which it allows
+    within quotes only, stand as characters that the record lacks; a quote inside a field that
+    does not open with one is found on its output. One trailing carriage return and blanks
+    around fields are ignored.
     """
     rec = rec[:-1] if rec.endswith("\r") else rec
-    said = None
+    if '" ' in rec:
+        rec = _tidy(rec, sep)
+    breaks = {}
+    if "\n" in rec or "\r" in rec:
+        spare = (c for c in map(chr, range(0xE000, 0x110000)) if c not in rec)
+        breaks = {next(spare): "\n", next(spare): "\r"}
+        for c, b in breaks.items():
+            rec = rec.replace(b, c)
     try:
-        for _ in csv.reader([rec], delimiter=sep, strict=True, skipinitialspace=True):
-            pass
+        rows = list(csv.reader([rec], delimiter=sep, strict=True, skipinitialspace=True))
     except csv.Error as e:
-        said = str(e)
-    if '"' not in rec:
-        return [f.strip(" ") for f in rec.split(sep)], None
-    fields = _scan(rec, sep)
-    if fields is None:
-        return None, said or "quote in an unquoted field"
+        return None, str(e)
+    fields = rows[0] if rows and rows[0] else [""]
+    if '"' in rec and _stray(fields, rec, sep):
+        return None, "quote in an unquoted field"
+    for c, b in breaks.items():
+        fields = [f.replace(c, b) for f in fields]
     return [f.strip(" ") for f in fields], None
 
 

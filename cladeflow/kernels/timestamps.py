@@ -1,4 +1,4 @@
-"""Written times: every reading of a text that exists, as seconds UTC of its first moment."""
+"""Written times: every reading of a text, as seconds UTC of its first moment and as bounds in decimal years."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ _ABBREVIATIONS = {
 }
 
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,]\d+)?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
-_ZONE = r"(?P<z>[Zz]|[+-]\d\d(?::?\d\d)?|\[[A-Za-z_+\-0-9/]+\]|[A-Za-z]+(?:[/_+-][A-Za-z0-9_+-]+)+|[A-Z]{2,5})"
+_ZONE = r"(?P<z>[Zz]|[+-]\d\d(?::?\d\d)?|\[[A-Za-z_+\-0-9/]+\]|[A-Za-z]+[/_+-][A-Za-z0-9_+/-]+|[A-Z]{2,5})"
 _CLOCK = rf"(?:(?:[Tt]|\s+|,\s*){_TIME}(?:\s*{_ZONE})?)?"
 _MONTH = r"(?P<mon>[A-Za-z]{3,9})\.?"
 _SHAPES = [
@@ -36,7 +36,7 @@ _SHAPES = [
 _NUMBERS = re.compile(rf"(?P<a>\d{{1,2}})([/.-])(?P<b>\d{{1,2}})\2(?P<y>\d{{4}}){_CLOCK}", re.A)
 _SECONDS, _MILLIS = re.compile(r"\d{10}", re.A), re.compile(r"\d{13}", re.A)
 _DECIMAL = re.compile(r"(\d{4}\.\d+)", re.A)
-_BOUNDS = re.compile(r"\[\s*(\d{4}(?:\.\d+)?)\s*[:,]\s*\d{4}(?:\.\d+)?\s*\]|(\d{4}\.\d+)\s*-\s*\d{4}(?:\.\d+)?", re.A)
+_BOUNDS = re.compile(r"\[\s*(\d{4}(?:\.\d+)?)\s*[:,]\s*(\d{4}(?:\.\d+)?)\s*\]|(\d{4}\.\d+)\s*-\s*(\d{4}(?:\.\d+)?)", re.A)
 EXISTS_FROM, EXISTS_TO = 1, 9999
 
 
@@ -60,11 +60,11 @@ def decimal_year(text: str) -> int:
 
 @functools.lru_cache(maxsize=4096)
 def _abbreviation(name: str, tz: str | None, year: int) -> float | None:
-    """Seconds east of UTC that a zone means by an abbreviation in a year, else the general ones."""
+    """Seconds east of UTC that a zone means by an abbreviation on some day of a year, else the general ones."""
     z = zone(tz)
     if z is not None:
-        for month in range(1, 13):
-            at = dt.datetime(year, month, 1, 12, tzinfo=z)
+        for day in range(365):
+            at = dt.datetime(year, 1, 1, 12, tzinfo=z) + dt.timedelta(days=day)
             if at.tzname() == name:
                 return at.utcoffset().total_seconds()
     hours = _ABBREVIATIONS.get(name)
@@ -88,93 +88,134 @@ def _in_zone(at: dt.datetime, z: zoneinfo.ZoneInfo, whole_day: bool) -> int | No
     return int((utc.replace(tzinfo=None) - _EPOCH).total_seconds())
 
 
-def _moment(y, m, d, g: dict, tz: str | None) -> int | None:
+def _clock(y: int, m: int, d: int, g: dict) -> dt.datetime | None:
+    """The written date and time; None where there is none such."""
     try:
-        h, mi, s = g.get("h"), g.get("mi"), g.get("s")
-        hour = int(h) if h else 0
+        hour = int(g.get("h") or 0)
         if g.get("ap"):
             if not 1 <= hour <= 12:
                 return None
             hour = hour % 12 + (12 if g["ap"] in "pP" else 0)
-        at = dt.datetime(y, m, d, hour, int(mi) if mi else 0, int(s) if s else 0)
+        return dt.datetime(y, m, d, hour, int(g.get("mi") or 0), int(g.get("s") or 0))
     except ValueError:
         return None
-    written = g.get("z")
-    if written:
-        if written in "Zz":
-            east = 0.0
-        elif written[0] in "+-":
-            hh, mm = int(written[1:3]), int(written[-2:]) if len(written) > 3 else 0
-            if hh > 18 or mm > 59:
-                return None
-            east = (hh * 3600 + mm * 60) * (-1 if written[0] == "-" else 1)
-        else:
-            name = written.strip("[]")
-            z = None if name in _ABBREVIATIONS else zone(name) if "/" in name or written[0] == "[" else None
-            if z is not None:
-                return _in_zone(at, z, False)
-            east = _abbreviation(name, tz, y)
-            if east is None:
-                return None
-        return int((at - _EPOCH).total_seconds() - east)
-    return _in_zone(at, zone(tz) or _UTC, not h)
 
 
-def readings(text: str | None, tz: str | None = None) -> list[tuple[str, int]]:
-    """(format, seconds UTC) of every reading of a text that exists; at most two (dmy and mdy).
+def _zoned(at: dt.datetime, written: str, tz: str | None) -> int | None:
+    """Seconds of a time with its own zone: an offset, a zone name or an abbreviation."""
+    if written in "Zz":
+        east = 0.0
+    elif written[0] in "+-":
+        hh, mm = int(written[1:3]), int(written[-2:]) if len(written) > 3 else 0
+        if hh > 18 or mm > 59:
+            return None
+        east = (hh * 3600 + mm * 60) * (-1 if written[0] == "-" else 1)
+    else:
+        name = written.strip("[]")
+        named = zone(name) if name not in _ABBREVIATIONS and ("/" in name or written[0] == "[") else None
+        if named is not None:
+            return _in_zone(at, named, False)
+        east = _abbreviation(name, tz, at.year)
+        if east is None:
+            return None
+    return int((at - _EPOCH).total_seconds() - east)
+
+
+def decimal_of(day: dt.date) -> float:
+    """year + (day of the year - 0.5) / days of the year."""
+    return day.year + (day.timetuple().tm_yday - 0.5) / (366 if calendar.isleap(day.year) else 365)
+
+
+def _last_day(y: int, m: int) -> dt.date:
+    """Last day of a month that counts for bounds; that of February is always the 28th."""
+    return dt.date(y, m, 28 if m == 2 else calendar.monthrange(y, m)[1])
+
+
+#: (format, seconds UTC or None, lo, hi); None: what is written under the format does not exist.
+Reading = tuple[str, int | None, float | None, float | None]
+
+
+def _dated(label: str, y: int, m: int, d: int, g: dict, tz: str | None, until: dt.date | None = None) -> list[Reading]:
+    """The readings of a date under one format: as local time and, with a zone to tell it from, as UTC."""
+    at = _clock(y, m, d, g)
+    if at is None:
+        return [(label, None, None, None)]
+    lo, hi = decimal_of(at.date()), decimal_of(until or at.date())
+    if g.get("z"):
+        return [(label, _zoned(at, g["z"], tz), lo, hi)]
+    z = zone(tz)
+    local = (label, _in_zone(at, z or _UTC, not g.get("h")), lo, hi)
+    return [local] if z is None else [local, (label + UTC, int((at - _EPOCH).total_seconds()), lo, hi)]
+
+
+UTC = "~utc"  # ends the format of a time without a zone that is read as UTC instead of local time
 
-    Null, empty and unreadable texts and dates or local times that do not exist have none.
+
+def readings(text: str | None, tz: str | None = None) -> list[Reading]:
+    """Every reading (format, start, lo, hi) of a text under every format it is written in.
+
+    start: seconds UTC of the first moment, None where no such date or local time exists; lo and
+    hi: decimal years of the first and last day covered, as written. A date of numbers only is
+    read as dmy and as mdy; a time without a zone as local time of tz and, marked ~utc, as UTC.
+    Null, empty and unreadable texts have none; a text may be of any length.
     """
     t = (text or "").strip()
-    if not t or len(t) > 100:  # no written time is longer
-        return []
     try:
-        if _SECONDS.fullmatch(t):
-            return [("epoch_s", int(t))]
-        if _MILLIS.fullmatch(t):
-            return [("epoch_ms", int(t) // 1000)]
+        if _SECONDS.fullmatch(t) or _MILLIS.fullmatch(t):
+            s, label = (int(t), "epoch_s") if len(t) == 10 else (int(t) // 1000, "epoch_ms")
+            day = decimal_of((_EPOCH + dt.timedelta(seconds=s)).date())
+            return [(label, s, day, day)]
         if m := _DECIMAL.fullmatch(t):
-            return [("decimal", decimal_year(m[1]))]
+            return [("decimal", decimal_year(m[1]), float(m[1]), float(m[1]))]
         if m := _BOUNDS.fullmatch(t):
-            return [("bounds", decimal_year(m[1] or m[2]))]
+            a, b = float(m[1] or m[3]), float(m[2] or m[4])
+            return [("bounds", decimal_year(m[1] or m[3]), min(a, b), max(a, b))]
     except (ValueError, OverflowError):
         return []
     if m := _NUMBERS.fullmatch(t):
         g, a, b, y = m.groupdict(), int(m["a"]), int(m["b"]), int(m["y"])
-        both = (("dmy", _moment(y, b, a, g, tz)), ("mdy", _moment(y, a, b, g, tz)))
-        return [x for x in both if x[1] is not None]
+        return _dated("dmy", y, b, a, g, tz) + _dated("mdy", y, a, b, g, tz)
     for label, shape in _SHAPES:
         if m := shape.fullmatch(t):
-            g = m.groupdict()
+            g, y = m.groupdict(), int(m["y"])
             if g.get("mon"):
                 month = _MONTHS.get(g["mon"].lower())
                 if month is None:
                     continue
             else:
                 month = int(g.get("m") or 1)
-            at = _moment(int(g["y"]), month, int(g.get("d") or 1), g, tz)
-            return [] if at is None else [(label, at)]
+            if label == "year" and len(t) == 4:
+                return [(f, s, float(y), float(y)) for f, s, _, _ in _dated(label, y, 1, 1, g, tz)]
+            until = None
+            if label in ("month", "year") and 1 <= month <= 12 and y:
+                until = dt.date(y, 12, 31) if label == "year" else _last_day(y, month)
+            return _dated(label, y, month, int(g.get("d") or 1), g, tz, until)
     return []
 
 
-def mixture(sets: list[tuple[tuple[str, ...], int]], prior: dict[str, float], rounds: int = 50) -> dict[str, float]:
-    """Expectation-maximisation of a source's format weights from (possible formats, number of values).
+def alternatives(found: list[Reading]) -> str:
+    """What a set of readings leaves open: format:class joined by |, one class per moment, x for none."""
+    moments: dict[int, int] = {}
+    return "|".join(f"{f}:{'x' if s is None else moments.setdefault(s, len(moments))}" for f, s, _, _ in found)
+
+
+def mixture(sets: list[tuple[tuple[tuple[str, float], ...], float]], pseudo: float = 1.0, rounds: int = 50) -> dict[str, float]:
+    """Expectation-maximisation of a source's format weights; sets: ((format, likelihood), ...) and how many values have it.
 
-    A value supports each format under which it can be read by that format's current weight.
-    prior holds pseudo-counts; they decide where the values don't.
+    Each value gives every format under which it can be parsed the share that weight times
+    likelihood has; the weights are these shares summed, with pseudo values of each format.
     """
-    formats = sorted({f for s, _ in sets for f in s} | set(prior))
-    weight = {f: 1 / len(formats) for f in formats}
+    formats = sorted({f for s, _ in sets for f, _ in s})
+    weight = dict.fromkeys(formats, 1 / max(1, len(formats)))
     for _ in range(rounds):
-        count = {f: prior.get(f, 0.0) for f in formats}
+        count = dict.fromkeys(formats, pseudo)
         for s, n in sets:
-            total = sum(weight[f] for f in s)
-            for f in s:
-                count[f] += n * (weight[f] / total if total > 0 else 1 / len(s))
+            total = sum(weight[f] * like for f, like in s)
+            for f, like in s:
+                count[f] += n * (weight[f] * like / total if total > 0 else 1 / len(s))
         whole = sum(count.values()) or 1.0
-        new = {f: c / whole for f, c in count.items()}
-        moved = max(abs(new[f] - weight[f]) for f in formats)
-        weight = new
+        moved = max((abs(count[f] / whole - weight[f]) for f in formats), default=0.0)
+        weight = {f: c / whole for f, c in count.items()}
         if moved < 1e-9:
             break
     return weight

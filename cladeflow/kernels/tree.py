@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -31,6 +32,30 @@ class Tree:
     def postorder(self) -> range:
         return range(len(self) - 1, -1, -1)
 
+    @functools.cached_property
+    def up_levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """From the tips up: (inner nodes whose children are all of earlier levels, these children in a row, where each node's begin)."""
+        height = np.zeros(len(self), np.int64)
+        for i in self.postorder:
+            if i:
+                p = self.parent[i]
+                height[p] = max(height[p], height[i] + 1)
+        out = []
+        order = np.argsort(height, kind="stable")
+        for nodes in np.split(order, np.flatnonzero(np.diff(height[order])) + 1)[1:]:
+            n = [len(self.children[i]) for i in nodes]
+            out.append((nodes, np.concatenate([self.children[i] for i in nodes]).astype(np.int64), np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)))
+        return out
+
+    @functools.cached_property
+    def down_levels(self) -> list[np.ndarray]:
+        """Nodes by their number of branches from the root, from 1 on."""
+        d = np.zeros(len(self), np.int64)
+        for i in range(1, len(self)):
+            d[i] = d[self.parent[i]] + 1
+        order = np.argsort(d, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(d[order])) + 1)[1:]
+
     def depth(self) -> np.ndarray:
         """Distance from the root."""
         d = np.zeros(len(self))
@@ -136,6 +161,15 @@ class Tree:
             parent[i], length[i] = p, float(self.length[i])
         return self.rebuilt(parent, length, 0)
 
+    def common_ancestor(self, nodes: list[int]) -> int:
+        """The node farthest from the root that is above all given nodes."""
+        seen: dict[int, int] = {}
+        for i in set(nodes):
+            while i >= 0:
+                seen[i] = seen.get(i, 0) + 1
+                i = int(self.parent[i])
+        return max(i for i, n in seen.items() if n == len(set(nodes)))
+
     def newick(self) -> str:
         text: dict[int, str] = {}
         for i in self.postorder:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import sequences as S
+from cladeflow.kernels.pairwise import into_columns
+from cladeflow.runtime import dimension_join, materialize
 
 
 def clean_alignment(aln: DataFrame, overhangs: bool = True) -> DataFrame:
@@ -29,33 +35,93 @@ def alphabet_guess(aln: DataFrame, by: list[str]) -> DataFrame:
 
 
 def site_letters(aln: DataFrame) -> DataFrame:
-    """tree_id, taxon, pos (from 0), state of the sequences that have their tree's most common length."""
+    """tree_id, n_sites, taxon, pos (from 0), state of all sequences; columns belong to the sequences of one tree and length."""
+    return aln.select("tree_id", F.length("seq").alias("n_sites"), "taxon", F.posexplode(S.states(F.col("seq"))).alias("pos", "state"))
+
+
+def usual_lengths(aln: DataFrame) -> DataFrame:
+    """tree_id, total: the most common length of a tree's sequences, the greatest of equals."""
     n = aln.groupBy("tree_id", F.length("seq").alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
-    usual = n.groupBy("tree_id").agg(F.max(F.struct("_n", "_len")).alias("x")).select("tree_id", F.col("x._len").alias("_len"))
-    fit = aln.join(usual, "tree_id").where(F.length("seq") == F.col("_len"))
-    return fit.select("tree_id", "taxon", F.posexplode(S.states(F.col("seq"))).alias("pos", "state"))
+    return n.groupBy("tree_id").agg(F.max(F.struct("_n", "_len")).alias("x")).select("tree_id", F.col("x._len").alias("total"))
+
+
+def _into(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ref, g in b.groupby("ref", sort=False):
+                fit = g["seq"].str.len().between(len(ref) / 2, 2 * len(ref)).to_numpy()
+                found = [("", 0, 0.0)] * len(g)
+                for k, x in zip(np.flatnonzero(fit), into_columns(ref, g["seq"][fit].tolist())):
+                    found[k] = x
+                yield pd.DataFrame(
+                    {
+                        "tree_id": g["tree_id"], "taxon": g["taxon"], "seq": [x[0] if x[2] >= least else None for x in found],
+                        "status": ["aligned" if x[2] >= least else "left out" for x in found], "n_inserted": [x[1] for x in found], "identity": [x[2] for x in found],
+                    }
+                ).astype({"n_inserted": "int32"})
+
+    return run
+
+
+def tree_columns(aln: DataFrame, least: float = 0.5) -> DataFrame:
+    """Every sequence in the columns of its tree: tree_id, taxon, seq, status, n_inserted, identity.
+
+    A tree's columns are those of its most common length, and its reference the most frequent
+    letter of each. Sequences of that length stay as they are (status as is). Others are aligned
+    to the reference: gaps where they lack letters, N beyond their ends; letters without a
+    column are left out of seq and counted in n_inserted. Where fewer than the share ``least``
+    of letters are equal to the reference, or the length is less than half or more than twice
+    that of the reference, the sequence cannot be placed: status left out, seq is null.
+    """
+    usual = materialize(usual_lengths(aln), "usual")
+    sized = dimension_join(aln.select("tree_id", "taxon", "seq"), usual, ["tree_id"], "taxon", "inner")
+    fit = sized.where(F.length("seq") == F.col("total"))
+    letters = fit.select("tree_id", F.posexplode(S.states(F.col("seq"))).alias("pos", "state"))
+    n = letters.groupBy("tree_id", "pos", "state").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("tree_id", "pos").agg(F.min(F.struct(F.col("state").isin("N", "-").alias("u"), (-F.col("n")).alias("m"), "state")).alias("x"))
+    ref = best.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.state"))), lambda x: x["state"]), "").alias("ref"))
+    ref = materialize(ref, "references")
+    other = dimension_join(sized.where(F.length("seq") != F.col("total")).drop("total"), ref, ["tree_id"], "taxon", "inner")
+    put = other.mapInPandas(_into(least), "tree_id string, taxon string, seq string, status string, n_inserted int, identity double")
+    same = fit.select("tree_id", "taxon", "seq", F.lit("as is").alias("status"), F.lit(0).alias("n_inserted"), F.lit(None).cast("double").alias("identity"))
+    return materialize(same.unionByName(put), "columns")
 
 
 def column_patterns(letters: DataFrame) -> DataFrame:
-    """tree_id, pattern, variable, multiplicity, first_pos: equal constant columns merge, variable ones stay apart.
+    """tree_id, n_sites, pattern, variable, multiplicity, first_pos: equal constant columns merge, variable ones stay apart.
 
     The pattern of a column lists its letters by taxon; a column whose only ambiguous letters
     stand beside one state counts as constant.
     """
-    col = letters.groupBy("tree_id", "pos").agg(
+    by = ["tree_id", "n_sites"]
+    col = letters.groupBy(*by, "pos").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("taxon", "state"))), lambda x: x["state"]), "").alias("pattern"),
         F.array_sort(F.collect_set(F.when(F.col("state") != "N", F.col("state")))).alias("_s"),
     )
     variable = F.size("_s") > 1
     shown = F.when(variable, F.col("pattern")).otherwise(F.repeat(F.coalesce(F.get("_s", F.lit(0)), F.lit("N")), F.length("pattern")))
-    key = col.select("tree_id", "pos", shown.alias("pattern"), variable.alias("variable"), F.when(variable, F.col("pos")).alias("_own"))
-    return key.groupBy("tree_id", "pattern", "variable", "_own").agg(F.count(F.lit(1)).alias("multiplicity"), F.min("pos").alias("first_pos")).drop("_own")
+    key = col.select(*by, "pos", shown.alias("pattern"), variable.alias("variable"), F.when(variable, F.col("pos")).alias("_own"))
+    return key.groupBy(*by, "pattern", "variable", "_own").agg(F.count(F.lit(1)).alias("multiplicity"), F.min("pos").alias("first_pos")).drop("_own")
+
+
+def with_constant_sites(patterns: DataFrame, full_length: int) -> DataFrame:
+    """column_patterns with the sites that the alignment lacks up to full_length, given to the constant letters in proportion.
+
+    Only constant columns of A, C, G or T take part; without any, all four letters would have
+    equal shares, which no pattern can hold, so multiplicities stay.
+    """
+    letter = F.substring("pattern", 1, 1)
+    constant = ~F.col("variable") & letter.isin("A", "C", "G", "T")
+    w = Window.partitionBy("tree_id", "n_sites")
+    extra = F.greatest(F.lit(full_length) - F.col("n_sites"), F.lit(0))
+    share = F.when(constant, F.col("multiplicity") / F.sum(F.when(constant, F.col("multiplicity"))).over(w)).otherwise(0.0)
+    return patterns.withColumn("multiplicity", F.col("multiplicity") + extra * F.coalesce(share, F.lit(0.0)))
 
 
 def differences(letters: DataFrame, reference: DataFrame) -> DataFrame:
     """Sites at which a sequence differs from its tree's reference: tree_id, taxon, ref, pos, state."""
-    r = reference.select("tree_id", "pos", F.col("state").alias("ref"))
-    return letters.join(r, ["tree_id", "pos"]).where("state <> ref").select("tree_id", "taxon", "ref", "pos", "state")
+    r = reference.select("tree_id", "n_sites", "pos", F.col("state").alias("ref"))
+    return letters.join(r, ["tree_id", "n_sites", "pos"]).where("state <> ref").select("tree_id", "taxon", "ref", "pos", "state")
 
 
 def sparse_differences(a: DataFrame, b: DataFrame, reference: DataFrame) -> DataFrame:
@@ -67,10 +133,10 @@ def sparse_differences(a: DataFrame, b: DataFrame, reference: DataFrame) -> Data
 
 
 def majority_reference(letters: DataFrame) -> DataFrame:
-    """Most frequent letter of each site, the first of equals: tree_id, pos, state, n."""
-    n = letters.groupBy("tree_id", "pos", "state").agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy("tree_id", "pos").agg(F.min(F.struct((-F.col("n")).alias("m"), "state")).alias("x"))
-    return best.select("tree_id", "pos", "x.state", (-F.col("x.m")).alias("n"))
+    """Most frequent letter of each site, the first of equals: tree_id, n_sites, pos, state, n."""
+    n = letters.groupBy("tree_id", "n_sites", "pos", "state").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("tree_id", "n_sites", "pos").agg(F.min(F.struct((-F.col("n")).alias("m"), "state")).alias("x"))
+    return best.select("tree_id", "n_sites", "pos", "x.state", (-F.col("x.m")).alias("n"))
 
 
 def distances(letters_wide: DataFrame, pairs: DataFrame) -> DataFrame:

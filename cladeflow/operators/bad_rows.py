@@ -27,7 +27,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             header = headers[sep, head]
             reason, detail, fields = K.check_record(rec, sep, header)
             name = date = further = None
-            if reason is None:
+            if reason in (None, "date"):
                 name = fields[header[1]]
                 date = fields[header[2]] if header[2] is not None else None
                 further = {c: f for i, (c, f) in enumerate(zip(header[0], fields)) if i not in header[1:]}
@@ -36,7 +36,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """One row per record: reason and detail where it can't be loaded, else name, date, further.
+    """One row per record: reason and detail where it can't be loaded, else name, date, further (also with the reason date).
 
     lines: line_id, file_name, line_no, raw_line; further columns are ignored. Line 1 of a file
     is its header (with several, the one of the smallest line_id) and no record. A null raw_line

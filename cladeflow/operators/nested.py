@@ -39,6 +39,11 @@ def whole_json(col: str) -> Column:
     )
 
 
+def last_of_repeated_keys(df: DataFrame) -> None:
+    """Lets the session's JSON parser read objects with repeated keys, of which the last counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def rejected(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
     """(record_id, text) of the texts that the SQL parser rejects and that may only be too deep or too long for it."""
     c = F.col(json_col)
@@ -127,10 +132,11 @@ def _row(n: Column) -> Column:
 def tree_levels(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
     """(record_id, nodes array) per record; materialised in the shared folder.
 
-    Nulls, empty and damaged texts and records without a tree give no rows. A text with a
-    duplicated key in one object counts as damaged. Repeated records are kept apart only by
-    their record_id. A record that is too deep for the SQL parser has a row per node.
+    Nulls, empty and damaged texts and records without a tree give no rows. Of repeated keys in
+    one object the last counts. Repeated records are kept apart only by their record_id. A
+    record that is too deep for the SQL parser has a row per node.
     """
+    last_of_repeated_keys(df)
     doc = whole_json(json_col)
     # no tree is deeper than its text has opening braces
     most = F.length(json_col) - F.length(F.replace(F.col(json_col), F.lit("{"), F.lit("")))
@@ -143,16 +149,16 @@ def tree_levels(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
     at = base.select("record_id", "_most", _present(roots).alias("_roots"))
     level = at.schema["_roots"].dataType.simpleString()
     rows = at.select(F.transform("_roots", _row).alias("x")).schema["x"].dataType.simpleString()
-    acc = f"struct<at:{level},rows:{rows}>"
-    start = F.struct(F.col("_roots").alias("at"), F.array().cast(rows).alias("rows")).cast(acc)
+    acc = f"struct<at:{level},rows:array<{rows}>>"  # a list of rows per level, joined once at the end
+    start = F.struct(F.col("_roots").alias("at"), F.array().cast(f"array<{rows}>").alias("rows")).cast(acc)
 
     def step(a: Column, _: Column) -> Column:
         deeper = F.struct(
-            _children(a["at"]).alias("at"), F.concat(a["rows"], F.transform(a["at"], _row)).alias("rows")
+            _children(a["at"]).alias("at"), F.concat(a["rows"], F.array(F.transform(a["at"], _row))).alias("rows")
         ).cast(acc)
         return F.when(F.size(a["at"]) == 0, a).otherwise(deeper)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.col("_most")), start, step, lambda a: a["rows"])
+    walked = F.aggregate(F.sequence(F.lit(0), F.col("_most")), start, step, lambda a: F.flatten(a["rows"]))
     out = at.select("record_id", walked.alias("nodes"))
     deep = rejected(df, record_id, json_col)
     deep = deep.mapInPandas(_deep_nodes, f"{_id_type(deep)}, path string, owner string, text string")
@@ -190,6 +196,7 @@ def taxon_items(df: DataFrame, record_id: str, json_col: str, value_name: str) -
     array of one. Entries without taxon, position or value are no rows; a text that is not valid
     JSON as a whole gives none.
     """
+    last_of_repeated_keys(df)
     site = f"struct<pos:string,{value_name}:string>"
     src = df.select(F.col(record_id).alias("record_id"), whole_json(json_col).alias("_d")).where(F.col("_d").isNotNull())
     deep = rejected(df, record_id, json_col)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.runtime import salt_hot
+from cladeflow.runtime import materialize, salt_hot
 
 
 def plain_name(c: Column) -> Column:
@@ -51,7 +50,7 @@ def orphans(
     refs: DataFrame,
     targets: DataFrame,
     keys: list[str],
-    ref_id: str,
+    ref_id: str | list[str],
     ref_time: str,
     loaded_at: str = "loaded_at",
     deleted_at: str = "deleted_at",
@@ -65,56 +64,61 @@ def orphans(
     mean, as in SQL: simple - a reference with a null in any key column refers to nothing;
     partial - it refers to any target that agrees in the other columns (all null: to nothing);
     full - it is an orphan with the reason incomplete (all null: it refers to nothing).
-    A null time: the target must exist at some time. Each pattern of nulls is anti-joined on
-    its own columns. Repeated references are all reported; hot keys are salted.
+    A null time: the target must exist at some time. The references are grouped by their mask
+    of nulls, and each group is anti-joined on the columns that it has. ref_id: one column or
+    several. Repeated references are all reported; hot keys are salted. What is lost is written
+    once, before its reasons are looked up.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
-    r = refs.select(F.col(ref_id).alias("_id"), F.col(ref_time).alias("_at"), *keys)
-    t = targets.select(*keys, F.col(loaded_at).alias("_from"), F.col(deleted_at).alias("_to"))
+    ids = [ref_id] if isinstance(ref_id, str) else list(ref_id)
+    held, ks = [f"_id{k}" for k in range(len(ids))], [f"_k{k}" for k in range(len(keys))]
+    mask = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in keys])
+    r = refs.select(*[F.col(c).alias(h) for c, h in zip(ids, held)], F.col(ref_time).alias("_at"), *[F.col(k).alias(n) for k, n in zip(keys, ks)], mask.alias("_mask"))
+    t = targets.select(*[F.col(k).alias(n) for k, n in zip(keys, ks)], F.col(loaded_at).alias("_from"), F.col(deleted_at).alias("_to"))
+    whole = "1" * len(keys)
+    # a mask that no reference has costs nothing further
+    masks = [whole] if match == "simple" else sorted(x["_mask"] for x in r.select("_mask").distinct().collect())  # at most 2 ** keys
     found = []
-    for mask in product((True, False), repeat=len(keys)) if match != "simple" else [(True,) * len(keys)]:
-        on = [k for k, there in zip(keys, mask) if there]
+    for m in masks:
+        on = [k for k, there in zip(ks, m) if there == "1"]
+        some = r.where(F.col("_mask") == m)
         if not on:
             continue
-        here = reduce(lambda a, b: a & b, [F.col(k).isNotNull() if m else F.col(k).isNull() for k, m in zip(keys, mask)])
-        some = r.where(here)
-        if match == "full" and len(on) < len(keys):
-            found.append(some.select("_id", "_at", F.lit("incomplete").alias("reason")))
+        if match == "full" and m != whole:
+            found.append(some.select(*held, "_at", F.lit("incomplete").alias("reason")))
             continue
-        there = t.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on]))
-        left, right, by = salt_hot(some.select("_id", "_at", *on), presence(there, on), on, "_id", rows_per_salt)
+        here = t.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on]))
+        left, right, by = salt_hot(some.select(*held, "_at", *on), presence(here, on), on, held[0], rows_per_salt)
         a, b = left.alias("a"), right.alias("b")
         same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by])
         at = F.col("a._at")
         covers = at.isNull() | ((F.col("b._from") <= at) & (F.col("b._to").isNull() | (at < F.col("b._to"))))
-        lost = a.join(b, same & covers, "left_anti")
-        first = there.groupBy(*on).agg(F.min("_from").alias("_first"), F.lit(True).alias("_any"))
-        left, right, by = salt_hot(lost.drop("_cf_salt"), first, on, "_id", rows_per_salt)
+        lost = materialize(a.join(b, same & covers, "left_anti").select(*held, "_at", *on), "lost")
+        first = here.groupBy(*on).agg(F.min("_from").alias("_first"), F.lit(True).alias("_any"))
+        left, right, by = salt_hot(lost, first, on, held[0], rows_per_salt)
         reason = (
             F.when(F.col("_any").isNull(), "missing").when(F.col("_first") <= F.col("_at"), "deleted").otherwise("late")
         )
-        found.append(left.join(right, by, "left").select("_id", "_at", reason.alias("reason")))
+        found.append(left.join(right, by, "left").select(*held, "_at", reason.alias("reason")))
+    if not found:
+        found = [r.limit(0).select(*held, "_at", F.lit("").alias("reason"))]
     out = reduce(DataFrame.unionByName, found)
-    return out.select(F.col("_id").alias(ref_id), F.col("_at").alias(ref_time), "reason")
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, ids)], F.col("_at").alias(ref_time), "reason")
 
 
-def name_orphans(metadata: DataFrame, sequence_names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Names in two tables that point to no tip present at that time: table_name, row_id, reason, ref_month."""
+def name_orphans(metadata: DataFrame, sequence_names: DataFrame, nodes: DataFrame, match: str = "simple") -> DataFrame:
+    """Names in two tables that point to no tip present at that time: table_name, row_id, reason, ref_month.
+
+    The key is (tree_id, name); match says what a null in it means, see orphans.
+    """
     tips = nodes.where("is_tip").select("tree_id", plain_name(F.col("name")).alias("_name"), "loaded_at", "deleted_at")
-    parts = []
-    for label, df, row_id, at in (
-        ("metadata", metadata, "meta_id", "received_at"),
-        ("sequence_names", sequence_names, "entry_id", "added_at"),
-    ):
-        refs = df.select(F.col(row_id), F.col(at), "tree_id", plain_name(F.col("name")).alias("_name"))
-        lost = orphans(refs, tips, ["tree_id", "_name"], row_id, at)
-        parts.append(
-            lost.select(
-                F.lit(label).alias("table_name"),
-                F.col(row_id).cast("bigint").alias("row_id"),
-                "reason",
-                F.date_format(at, "yyyy-MM").alias("ref_month"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    refs = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(F.lit(label).alias("table_name"), F.col(row_id).cast("bigint").alias("row_id"), F.col(at).alias("_seen"), "tree_id", plain_name(F.col("name")).alias("_name"))
+            for label, df, row_id, at in (("metadata", metadata, "meta_id", "received_at"), ("sequence_names", sequence_names, "entry_id", "added_at"))
+        ],
+    )
+    lost = orphans(refs, tips, ["tree_id", "_name"], ["row_id", "table_name"], "_seen", match=match)
+    return lost.select("table_name", "row_id", "reason", F.date_format("_seen", "yyyy-MM").alias("ref_month"))

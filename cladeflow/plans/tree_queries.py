@@ -12,6 +12,9 @@ from cladeflow.operators import alignment as AL
 from cladeflow.operators import inference as I
 from cladeflow.operators import mutations as M
 from cladeflow.operators import trees as T
+from cladeflow.operators.references import plain_name
+from cladeflow.operators.rooting import root_regressions
+from cladeflow.plans.record_queries import _P4
 from cladeflow.runtime import materialize, read
 
 GENOME = 30_000
@@ -19,7 +22,7 @@ GROUP = ["tree_id", "root_id"]
 
 
 def _nodes(spark, d):
-    return T.current_nodes(read(spark, d, "nodes"))
+    return materialize(T.current_nodes(read(spark, d, "nodes")), "nodes")
 
 
 def _paths(spark, d):
@@ -27,7 +30,7 @@ def _paths(spark, d):
 
 
 def _dates(spark, d, nodes):
-    return T.tip_dates(nodes, read(spark, d, "metadata"), "date_str")
+    return T.tip_dates(nodes, read(spark, d, "metadata"), read(spark, d, "labs"))
 
 
 def tree_current_nodes(spark, d):
@@ -39,15 +42,14 @@ def tree_root_paths(spark, d):
 
 
 def tree_tip_counts(spark, d):
-    p = _paths(spark, d)
-    s = T.subtree_sums(p, {"n_tips": F.count(F.lit(1)), "far": F.max("dist2root")})
+    s = T.subtree_sums(_paths(spark, d), {"n_tips": ("sum", F.lit(1)), "far": ("max", F.col("dist2root"))})
     return s.select("tree_id", "node_id", "n_tips", F.round("far", 9).alias("far"))
 
 
 def tree_bad_branches(spark, d):
-    p = _paths(spark, d)
-    dated = _dates(spark, d, _nodes(spark, d)).where("lo is not null").select("tree_id", "node_id", F.lit(True).alias("_d"))
-    s = T.subtree_sums(p.join(dated, ["tree_id", "node_id"], "left"), {"bad_branch": F.every(F.col("_d").isNull())})
+    n = _nodes(spark, d)
+    dated = _dates(spark, d, n).where("lo is not null").select("tree_id", "node_id", F.lit(True).alias("_d"))
+    s = T.subtree_sums(n.join(dated, ["tree_id", "node_id"], "left"), {"bad_branch": ("every", F.col("_d").isNull())})
     return s.where("bad_branch").select("tree_id", "node_id")
 
 
@@ -66,7 +68,8 @@ def tip_date_bounds(spark, d):
 
 
 def _rtt(spark, d):
-    return T.root_to_tip(_paths(spark, d), _dates(spark, d, _nodes(spark, d)))
+    n = _nodes(spark, d)
+    return T.root_to_tip(T.root_paths(n), _dates(spark, d, n))
 
 
 def clock_root_to_tip(spark, d):
@@ -106,7 +109,7 @@ def aln_alphabet(spark, d):
 
 
 def aln_patterns(spark, d):
-    return AL.column_patterns(AL.site_letters(_aln(spark, d))).select("tree_id", F.md5("pattern").alias("pattern"), "variable", "multiplicity", "first_pos")
+    return AL.column_patterns(AL.site_letters(_aln(spark, d))).select("tree_id", "n_sites", F.md5("pattern").alias("pattern"), "variable", "multiplicity", "first_pos")
 
 
 def aln_differences(spark, d):
@@ -225,58 +228,124 @@ def trait_states(spark, d):
     return m.select("tree_id", "country", F.dense_rank().over(Window.partitionBy("tree_id").orderBy("country")).alias("state"))
 
 
+def _columns(spark, d):
+    """Sequences in the columns of their trees, and the numbers of columns."""
+    c = AL.tree_columns(_aln(spark, d)).where("seq is not null").select("tree_id", "taxon", "seq")
+    return c, materialize(I.site_counts(c), "sites")
+
+
+def aln_columns(spark, d):
+    """What became of the sequences whose length is not their tree's usual one."""
+    return AL.tree_columns(_aln(spark, d)).where("status <> 'as is'").select("tree_id", "taxon", "status", "n_inserted", F.round("identity", 6).alias("identity"))
+
+
+def aln_lengths(spark, d):
+    """Sequences whose length is not their tree's usual one, and how far off it is."""
+    a = _aln(spark, d)
+    return a.join(AL.usual_lengths(a), "tree_id").where(F.length("seq") != F.col("total")).select("tree_id", "taxon", (F.length("seq") - F.col("total")).alias("longer_by"))
+
+
+def aln_full_length(spark, d):
+    """Patterns of alignments that stand for genomes of 600 sites."""
+    p = AL.with_constant_sites(AL.column_patterns(AL.site_letters(_aln(spark, d))), 600)
+    return p.where("not variable").select("tree_id", "n_sites", F.md5("pattern").alias("pattern"), F.round("multiplicity", 6).alias("multiplicity"))
+
+
+def tips_undated(spark, d):
+    """Tips without a date: their name has no metadata, or no value there denotes a moment."""
+    n = _nodes(spark, d)
+    names = read(spark, d, "metadata").select("tree_id", plain_name(F.col("name")).alias("_n")).where("_n is not null").distinct().withColumn("_sent", F.lit(True))
+    t = _dates(spark, d, n).where("lo is null").withColumn("_n", plain_name(F.col("name"))).join(names, ["tree_id", "_n"], "left")
+    return t.select("tree_id", "node_id", F.when(F.col("_sent"), "no date").otherwise("no metadata").alias("reason"))
+
+
 def ancestral_marginal(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _aln(spark, d), "marginal")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "marginal")
 
 
 def ancestral_joint(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _aln(spark, d), "joint")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "joint")
 
 
 def ancestral_fitch(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _aln(spark, d), "fitch")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "fitch")
+
+
+def ancestral_inferred(spark, d):
+    """Under a model of five states that is inferred for each tree."""
+    n, aln = _nodes(spark, d), _columns(spark, d)[0]
+    return I.ancestral_states(n, aln, "marginal", models=I.infer_models(n, aln))
+
+
+def models_inferred(spark, d):
+    return I.infer_models(_nodes(spark, d), _columns(spark, d)[0])
 
 
 def clock_best_root(spark, d):
     n = _nodes(spark, d)
-    return I.best_roots(n, _dates(spark, d, n))
+    x = root_regressions(n, _dates(spark, d, n))
+    return x.select(*GROUP, F.round("slope", 7).alias("slope"), F.round("chisq", 7).alias("chisq"), "n_dates")
 
 
 def clock_min_deviation_root(spark, d):
     n = _nodes(spark, d)
-    return I.best_roots(n, _dates(spark, d, n), slope=0.0)
+    return root_regressions(n, _dates(spark, d, n), 0.0).select(*GROUP, F.round("chisq", 7).alias("chisq"), "n_dates")
+
+
+def clock_covariation_root(spark, d):
+    """Roots with variances that grow along the branches; the rate's deviation and the root's date."""
+    n = _nodes(spark, d)
+    return I.best_roots(n, _dates(spark, d, n), _columns(spark, d)[1], covariation=True)
+
+
+def clock_oldest_root(spark, d):
+    n = _nodes(spark, d)
+    return I.best_roots(n, _dates(spark, d, n), _columns(spark, d)[1], mode="oldest")
 
 
 def clock_local_outliers(spark, d):
     n = _nodes(spark, d)
-    return I.local_outliers(n, _dates(spark, d, n))
+    return I.local_outliers(n, _dates(spark, d, n), _columns(spark, d)[1], 2.0)
 
 
 def timetree_joint(spark, d):
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), grid=120)
+    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1])
 
 
 def timetree_marginal(spark, d):
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), marginal=True, grid=120)
+    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], marginal=True, vary_rate=True)
 
 
 def timetree_full(spark, d):
-    """With relaxed rates, a coalescent prior and resolved polytomies."""
+    """All of it: inferred models, sequences, best roots, outliers, polytomies, relaxed rates, a coalescent, confidence."""
+    n = _nodes(spark, d)
+    aln, sites = _columns(spark, d)
+    models = I.infer_models(n, aln, 3)
+    pairs = materialize(I.expected_branch_pairs(n, aln, models=models), "pairs")
+    return I.time_trees(
+        n, _dates(spark, d, n), sites, True, pairs=pairs, models=models, relax=(1.0, 1.0), coalescent=True, resolve=True,
+        reroot="best", clock_filter=4.0, max_iter=3, vary_rate=True,
+    )
+
+
+def timetree_skyline(spark, d):
+    """Effective time scale through time of the dated trees: date, Tc and its bounds."""
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), relax=(1.0, 1.0), coalescent=True, resolve=True, grid=120)
+    t = I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], coalescent="skyline", resolve=True, reroot="best").where("info is not null")
+    sky = F.from_json(F.get_json_object("info", "$.skyline"), "array<array<double>>")
+    x = t.select(*GROUP, F.explode(sky).alias("x"))
+    return x.select(*GROUP, *[F.col("x")[k].alias(c) for k, c in enumerate(("date", "tc", "lower", "upper"))])
 
 
 def coalescent_tc(spark, d):
-    return I.coalescent_fits(_nodes(spark, d)).select("tree_id", "root_id", "n_nodes", "tc", "log_lh")
+    return I.coalescent_fits(_nodes(spark, d)).select("tree_id", "root_id", "n_nodes", F.round("tc", 7).alias("tc"))
 
 
 def traits_inferred(spark, d):
     n = _nodes(spark, d)
     m = read(spark, d, "metadata")
-    from cladeflow.operators.references import plain_name
-
     c = m.where("country is not null").groupBy("tree_id", plain_name(F.col("name")).alias("_n")).agg(F.max_by("country", F.struct("received_at", "meta_id")).alias("trait"))
     t = n.where("is_tip").withColumn("_n", plain_name(F.col("name"))).join(c, ["tree_id", "_n"])
     return I.discrete_traits(n, t)
@@ -284,7 +353,7 @@ def traits_inferred(spark, d):
 
 def branch_state_pairs(spark, d):
     n = _nodes(spark, d)
-    return I.branch_state_pairs(I.ancestral_states(n, _aln(spark, d), "joint"), n)
+    return I.branch_state_pairs(I.ancestral_states(n, _columns(spark, d)[0], "joint"), n)
 
 
 def branch_lengths(spark, d):
@@ -292,7 +361,7 @@ def branch_lengths(spark, d):
 
 
 def optimised_trees(spark, d):
-    return I.optimised_trees(_nodes(spark, d), _aln(spark, d))
+    return I.optimised_trees(_nodes(spark, d), _columns(spark, d)[0])
 
 
 def simulated_alignments(spark, d):
@@ -301,15 +370,16 @@ def simulated_alignments(spark, d):
 
 def rate_susceptibility(spark, d):
     n = _nodes(spark, d)
-    return I.rate_susceptibility(n, _dates(spark, d, n))
+    return I.rate_susceptibility(n, _dates(spark, d, n), _columns(spark, d)[1])
 
 
 def tree_layout(spark, d):
-    return I.tree_layout(_nodes(spark, d))
+    x = I.tree_layout(_nodes(spark, d))
+    return x.select("tree_id", "node_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 def coalescent_skyline(spark, d):
-    return I.coalescent_fits(_nodes(spark, d), 5).where(F.size("sky_t") > 0)
+    return I.coalescent_fits(_nodes(spark, d), 20).where(F.size("sky_t") > 0)
 
 
 def reassortment_clades(spark, d):
@@ -356,30 +426,16 @@ _WALK = (
   select a.tree_id, a.node_id, u.node_id, a.steps + 1, u.par from above a join up u on u.tree_id = a.tree_id and u.node_id = a.par
 )"""
 )
-_DATES = r"""
-, m1 as (
-  select tree_id, lower(trim(name, ' ''"')) as n, received_at, meta_id, trim(date_str, ' ') as t from metadata where name is not null
-), m2 as (
-  select *, case when regexp_full_match(t, '[0-9]{4}(\.[0-9]+)?') then t::double end as num,
-    case when regexp_full_match(t, '\[\s*[0-9]{4}(\.[0-9]+)?\s*:\s*[0-9]{4}(\.[0-9]+)?\s*\]') then string_split(trim(t, '[]'), ':') end as pair,
-    case when regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(t as date)
-         when regexp_full_match(t, '[0-9]{4}-(0[1-9]|1[0-2])-XX') then try_cast(t[1:7] || '-01' as date)
-         when regexp_full_match(t, '[0-9]{4}-XX-XX') then try_cast(t[1:4] || '-01-01' as date) end as d1,
-    case when regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(t as date)
-         when regexp_full_match(t, '[0-9]{4}-(0[1-9]|1[0-2])-XX') then try_cast(t[1:7] || case t[6:7] when '02' then '-28' when '04' then '-30' when '06' then '-30' when '09' then '-30' when '11' then '-30' else '-31' end as date)
-         when regexp_full_match(t, '[0-9]{4}-XX-XX') then try_cast(t[1:4] || '-12-31' as date) end as d2
-  from m1
-), m3 as (
-  select *, coalesce(num, trim(pair[1])::double, year(d1) + (dayofyear(d1) - 0.5) / (case when dayofyear(make_date(year(d1), 12, 31)) = 366 then 366 else 365 end)) as lo,
-    coalesce(num, trim(pair[2])::double, year(d2) + (dayofyear(d2) - 0.5) / (case when dayofyear(make_date(year(d2), 12, 31)) = 366 then 366 else 365 end)) as hi
-  from m2
-), dated as (
-  select tree_id, n, lo, hi from (select *, row_number() over (partition by tree_id, n order by received_at desc, meta_id desc, lo desc, hi desc) as rn from m3 where lo is not null) where rn = 1
+_DATES = _P4.replace("\nwith ", "\n, ", 1) + """
+, dated as (
+  select tree_id, n, lo, hi from (
+    select tree_id, lower(trim(name, ' \'\'"')) as n, lo, hi, row_number() over (partition by tree_id, lower(trim(name, ' \'\'"')) order by received_at desc, meta_id desc, field_name) as rn
+    from metadata join times using (meta_id) where name is not null) where rn = 1
 ), tipdates as (
-  select c.tree_id, c.node_id, lo, hi from cur c join dated d on d.tree_id = c.tree_id and d.n = lower(trim(c.name, ' ''"')) where c.is_tip
+  select c.tree_id, c.node_id, lo, hi from cur c join dated d on d.tree_id = c.tree_id and d.n = lower(trim(c.name, ' \'\'"')) where c.is_tip
 )"""
 _RTT = _WALK + _DATES + """
-, rtt as (select w.tree_id, w.root_id, w.node_id, (lo + hi) / 2 as date, dist2root from walk w join tipdates t on t.tree_id = w.tree_id and t.node_id = w.node_id where w.is_tip),
+, rtt as (select w.tree_id, w.root_id, w.node_id, (lo + hi) / 2 as date, dist2root, depth from walk w join tipdates t on t.tree_id = w.tree_id and t.node_id = w.node_id where w.is_tip),
 reg as (
   select tree_id, root_id, count(*) as n, covar_pop(dist2root, date) / var_pop(date) as slope,
     avg(dist2root) - covar_pop(dist2root, date) / var_pop(date) * avg(date) as intercept,
@@ -396,10 +452,8 @@ a1 as (
   select tree_id, taxon, repeat('N', length(s) - length(ltrim(s, '-'))) || trim(s, '-') ||
     case when length(ltrim(s, '-')) = 0 then '' else repeat('N', length(s) - length(rtrim(s, '-'))) end as seq from a2
 )"""
-_SITES = "with" + _ALN + """, usual as (
-  select tree_id, len from (select tree_id, length(seq) as len, row_number() over (partition by tree_id order by count(*) desc, length(seq) desc) as rn from al group by tree_id, length(seq)) where rn = 1
-), let as (
-  select tree_id, taxon, i - 1 as pos, seq[i] as state from (select al.tree_id, taxon, seq, unnest(range(1, len + 1)) as i from al join usual u on u.tree_id = al.tree_id and length(seq) = len)
+_SITES = "with" + _ALN + """, let as (
+  select tree_id, n_sites, taxon, i - 1 as pos, seq[i] as state from (select tree_id, length(seq)::int as n_sites, taxon, seq, unnest(range(1, length(seq) + 1)) as i from al)
 )"""
 _MUT = "with" + _CUR + """, mu as (
   select m.*, c.is_tip, c.branch_length from (
@@ -413,6 +467,40 @@ ev as (
   from walk w left join kids k on k.tree_id = w.tree_id and k.node_id = w.node_id group by 1, 2, 3
 ), ltt as (select *, 1 + sum(dn) over (partition by tree_id, root_id order by t) as k from ev)"""
 
+# preorder: the ranks of a node and of those above it; lengths as %.10g
+_ORDER = """, ranked as (
+  select *, row_number() over (partition by tree_id, par order by child_ix, node_id) as r from up where par is not null
+), pre as (
+  select u.tree_id, u.node_id, u.name, u.node_id as root_id, 0 as depth, [1::bigint] as key, printf('%.10g', u.branch_length) as num, printf('%.10g', u.branch_length) as root_length from up u where par is null
+  union all
+  select r.tree_id, r.node_id, r.name, p.root_id, p.depth + 1, list_append(p.key, r.r), printf('%.10g', r.branch_length), p.root_length from ranked r join pre p on p.tree_id = r.tree_id and p.node_id = r.par
+)"""
+# every branch (above node v) against every dated tip: distances from the lower end, with a sign for the side
+_ROOTS = _WALK + _DATES + """
+, tip as (select w.tree_id, w.root_id, w.node_id, w.dist2root as d, (lo + hi) / 2 - 2000 as t from walk w join tipdates x on x.tree_id = w.tree_id and x.node_id = w.node_id where w.is_tip),
+pairs as (
+  select v.tree_id, v.root_id, v.node_id as v, v.branch_length as len, v.dist2root as dv, tip.node_id as j, tip.d, tip.t, max(anc.dist2root) as meet, bool_or(a1.anc = v.node_id) as below
+  from walk v join tip on tip.tree_id = v.tree_id and tip.root_id = v.root_id
+  join above a1 on a1.tree_id = tip.tree_id and a1.node_id = tip.node_id
+  join above a2 on a2.tree_id = v.tree_id and a2.node_id = v.node_id and a2.anc = a1.anc
+  join walk anc on anc.tree_id = a1.tree_id and anc.node_id = a1.anc
+  where v.depth > 0 group by all
+), dist as (select *, d + dv - 2 * meet as e, case when below then 1 else -1 end as s from pairs),
+m as (
+  select tree_id, root_id, v, len, count(*)::double as n, sum(t * t) - sum(t) ** 2 / count(*) as tt, sum(e * e) - sum(e) ** 2 / count(*) as q0, 2 * sum(s * e) - 2 * sum(e) * sum(s) / count(*) as q1,
+    count(*) - sum(s)::double ** 2 / count(*) as q2, sum(t * e) - sum(t) * sum(e) / count(*) as u0, sum(t * s) - sum(t) * sum(s) / count(*) as u1
+  from dist group by all having count(*) >= 3 and abs(sum(s)) < count(*)
+)"""
+
+
+def _least_sql(c0: str, c1: str, c2: str, lo: str, hi: str, possible: str) -> str:
+    return f"""
+, par as (select *, {c0} as c0, {c1} as c1, {c2} as c2, {lo} as lo, {hi} as hi from m where tt > 1e-9 and {possible}),
+pt as (select *, greatest(lo, least(hi, case when c2 > 1e-12 then -c1 / (2 * c2) when c1 > 0 then lo else hi end)) as a from par where lo <= hi),
+best as (select *, 0.5 * (c0 + c1 * a + c2 * a * a) as chi, row_number() over (partition by tree_id, root_id order by round(0.5 * (c0 + c1 * a + c2 * a * a), 11), v) as rn from pt)
+"""
+
+
 SQL = {
     "tree_current_nodes": "with" + _CUR + " select tree_id, node_id, coalesce(parent_id, -1)::int as parent_id, name, is_tip, round(branch_length, 8) as branch_length from cur",
     "tree_root_paths": _WALK + " select tree_id, node_id, root_id, depth, round(dist2root, 9) as dist2root from walk",
@@ -428,18 +516,18 @@ SQL = {
     "clock_regression": _RTT + " select tree_id, root_id, round(slope, 6) + 0.0 as slope, round(chisq, 6) + 0.0 as chisq, round(r, 5) + 0.0 as r, n from reg",
     "clock_outliers": _RTT + """, res as (select rtt.*, dist2root - intercept - slope * date as residual from rtt join reg using (tree_id, root_id)),
         iqd as (select tree_id, root_id, quantile_cont(residual, 0.75) - quantile_cont(residual, 0.25) as w from res group by 1, 2)
-        select tree_id, node_id, round(residual, 6) as residual from res join iqd using (tree_id, root_id) where abs(residual) > 3 * w""",
+        select tree_id, node_id, round(residual, 6) as residual from res join iqd using (tree_id, root_id) where abs(residual) > 3 * w and depth > 1""",
     "numeric_dates": """with n as (select o_orderkey, o_orderdate::date as d, year(o_orderdate) as y, case when dayofyear(make_date(year(o_orderdate), 12, 31)) = 366 then 366 else 365 end as days from orders)
         select o_orderkey, round(y + (dayofyear(d) - 0.5) / days, 6) as numeric_date, strftime(d, '%Y-%m-%d') as date_string from n""",
     "aln_clean": "with" + _ALN + " select tree_id, taxon, seq from al",
     "aln_composition": "with" + _ALN + " select tree_id, state, count(*) as n from (select tree_id, unnest(string_split(seq, '')) as state from al where length(seq) > 0) group by 1, 2",
     "aln_alphabet": "with" + _ALN + " select tree_id, sum(length(seq) - length(regexp_replace(seq, '[ACGTacgtN-]', '', 'g')))::bigint as n_nuc, sum(length(seq))::bigint as n_all, case when sum(length(seq) - length(regexp_replace(seq, '[ACGTacgtN-]', '', 'g'))) > 0.9 * sum(length(seq)) then 'nuc' else 'aa' end as alphabet from al group by 1",
     "aln_patterns": _SITES + """, col as (
-        select tree_id, pos, string_agg(state, '' order by taxon) as pattern, count(distinct state) filter (where state <> 'N') as ns, min(state) filter (where state <> 'N') as one from let group by 1, 2),
-        k as (select tree_id, pos, ns > 1 as variable, case when ns > 1 then pattern else repeat(coalesce(one, 'N'), length(pattern)) end as pattern from col)
-        select tree_id, md5(pattern) as pattern, variable, count(*) as multiplicity, min(pos) as first_pos from k group by tree_id, pattern, variable, case when variable then pos end""",
-    "aln_differences": _SITES + """, ref as (select tree_id, pos, state as ref from (select tree_id, pos, state, row_number() over (partition by tree_id, pos order by count(*) desc, state) as rn from let group by 1, 2, 3) where rn = 1)
-        select tree_id, taxon, ref, pos, state from let join ref using (tree_id, pos) where state <> ref""",
+        select tree_id, n_sites, pos, string_agg(state, '' order by taxon) as pattern, count(distinct state) filter (where state <> 'N') as ns, min(state) filter (where state <> 'N') as one from let group by 1, 2, 3),
+        k as (select tree_id, n_sites, pos, ns > 1 as variable, case when ns > 1 then pattern else repeat(coalesce(one, 'N'), length(pattern)) end as pattern from col)
+        select tree_id, n_sites, md5(pattern) as pattern, variable, count(*) as multiplicity, min(pos) as first_pos from k group by tree_id, n_sites, pattern, variable, case when variable then pos end""",
+    "aln_differences": _SITES + """, ref as (select tree_id, n_sites, pos, state as ref from (select tree_id, n_sites, pos, state, row_number() over (partition by tree_id, n_sites, pos order by count(*) desc, state) as rn from let group by 1, 2, 3, 4) where rn = 1)
+        select tree_id, taxon, ref, pos, state from let join ref using (tree_id, n_sites, pos) where state <> ref""",
     "aln_distances": "with" + _ALN + """, pairs as (select tree_id, lag(taxon) over w as taxon_1, taxon as taxon_2, lag(seq) over w as s1, seq as s2 from al window w as (partition by tree_id order by taxon)),
         x as (select tree_id, taxon_1, taxon_2, (select count(*) from range(1, length(s1) + 1) r(i) where s1[i] not in ('N', '-') and s2[i] not in ('N', '-') and s1[i] <> s2[i])::int as differ,
           (select count(*) from range(1, length(s1) + 1) r(i) where s1[i] not in ('N', '-') and s2[i] not in ('N', '-'))::int as compared from pairs where taxon_1 is not null and length(s1) = length(s2))
@@ -461,6 +549,35 @@ SQL = {
     "lineages_through_time": _EVENTS + " select tree_id, root_id, t, dn, k::bigint as k from ltt",
     "merger_rate_integral": _EVENTS + """, x as (select *, coalesce((t - lag(t) over w) * 0.5 * greatest(0.5, lag(k) over w - 1), 0) as a from ltt window w as (partition by tree_id, root_id order by t))
         select tree_id, root_id, t, k::bigint as k, round(sum(a) over (partition by tree_id, root_id order by t), 11) as integral from x""",
+    "aln_lengths": "with" + _ALN + """, u as (select tree_id, len from (select tree_id, length(seq) as len, row_number() over (partition by tree_id order by count(*) desc, length(seq) desc) as rn from al group by tree_id, length(seq)) where rn = 1)
+        select tree_id, taxon, (length(seq) - len)::int as longer_by from al join u using (tree_id) where length(seq) <> len""",
+    "aln_full_length": _SITES + """, col as (
+        select tree_id, n_sites, pos, count(*) as taxa, count(distinct state) filter (where state <> 'N') as ns, min(state) filter (where state <> 'N') as one from let group by 1, 2, 3),
+        k as (select tree_id, n_sites, repeat(coalesce(one, 'N'), taxa::int) as pattern, coalesce(one, 'N') in ('A', 'C', 'G', 'T') as real, count(*) as m from col where ns < 2 group by all)
+        select tree_id, n_sites, md5(pattern) as pattern, round(m + greatest(600 - n_sites, 0) * coalesce(case when real then m end / sum(case when real then m end) over (partition by tree_id, n_sites), 0), 6) as multiplicity from k""",
+    "tips_undated": "with" + _CUR + _DATES + """ select c.tree_id, c.node_id, case when exists (select 1 from metadata m where m.tree_id = c.tree_id and lower(trim(m.name, ' \'\'"')) = lower(trim(c.name, ' \'\'"'))) then 'no date' else 'no metadata' end as reason
+        from cur c where c.is_tip and not exists (select 1 from tipdates t where t.tree_id = c.tree_id and t.node_id = c.node_id)""",
+    "clock_best_root": _ROOTS + _least_sql("q0 - u0 * u0 / tt", "q1 - 2 * u0 * u1 / tt", "q2 - u1 * u1 / tt", "case when u1 > 0 then greatest(0, -u0 / u1) else 0 end", "case when u1 < 0 then least(len, -u0 / u1) else len end", "(u1 <> 0 or u0 >= 0)")
+        + "select tree_id, root_id, round((u0 + u1 * a) / tt, 7) as slope, round(chi, 7) as chisq, n::int as n_dates from best where rn = 1",
+    "clock_min_deviation_root": _ROOTS + _least_sql("q0", "q1", "q2", "0", "len", "true") + "select tree_id, root_id, round(chi, 7) as chisq, n::int as n_dates from best where rn = 1",
+    "coalescent_tc": _EVENTS + """, e1 as (select *, lag(k) over w as above, lag(t) over w as before from ltt window w as (partition by tree_id, root_id order by t)),
+        seg as (select tree_id, root_id, before as a, t as b, 0.5 * greatest(0.5, above - 1) as rate from e1 where before is not null),
+        br as (select w.tree_id, w.root_id, w.node_id, p.dist2root as a, w.dist2root as b from walk w join up u on u.tree_id = w.tree_id and u.node_id = w.node_id join walk p on p.tree_id = w.tree_id and p.node_id = u.par),
+        ar as (select br.tree_id, br.root_id, sum(coalesce(greatest(0, least(seg.b, br.b) - greatest(seg.a, br.a)) * rate, 0)) as s from br left join seg on seg.tree_id = br.tree_id and seg.root_id = br.root_id and seg.a < br.b and seg.b > br.a group by 1, 2),
+        nn as (select tree_id, root_id, count(*) as n from walk group by 1, 2)
+        select tree_id, root_id, n::int as n_nodes, round(2 * s / (n - 1), 7) as tc from nn join ar using (tree_id, root_id) where n >= 4""",
+    "tree_layout": _WALK + _ORDER + """, kid as (select tree_id, par, node_id, row_number() over (partition by tree_id, par order by child_ix, node_id) as r, count(*) over (partition by tree_id, par) as k from up where par is not null),
+        tipy as (select tree_id, node_id, row_number() over (partition by tree_id, root_id order by key) as y from pre where not exists (select 1 from kid where kid.tree_id = pre.tree_id and kid.par = pre.node_id)),
+        edge as (select tree_id, node_id as top, node_id, 1.0::double as w from up union all
+          select e.tree_id, e.top, kid.node_id, e.w * (case when k = 1 then 1.0 else 0.5 end) from edge e join kid on kid.tree_id = e.tree_id and kid.par = e.node_id where r = 1 or r = k)
+        select e.tree_id, e.top as node_id, round(any_value(p.dist2root), 9) as x, round(sum(w * y), 9) as y from edge e join tipy using (tree_id, node_id) join walk p on p.tree_id = e.tree_id and p.node_id = e.top group by 1, 2""",
+    "tree_newick": _WALK + _ORDER + """, n as (select p.*, exists (select 1 from up c where c.tree_id = p.tree_id and c.par = p.node_id) as inner_ from pre p),
+        tok as (
+          select tree_id, root_id, key, (case when len(key) > 1 and key[len(key)] > 1 then ',' else '' end) || (case when inner_ then '(' else '' end) as s from n
+          union all
+          select tree_id, root_id, list_append(key, 2147483647), (case when inner_ then ')' else '' end) || (case when regexp_matches(coalesce(name, ''), '[\\s()\\[\\],:;]') or contains(coalesce(name, ''), chr(39)) then chr(39) || replace(name, chr(39), chr(39) || chr(39)) || chr(39) else coalesce(name, '') end) || ':' || (case when depth = 0 then root_length else num end) from n
+        )
+        select tree_id, string_agg(s, '' order by key) || ';' as text from tok group by tree_id, root_id""",
     "trait_states": "select tree_id, country, dense_rank() over (partition by tree_id order by country)::int as state from (select distinct tree_id, country from metadata where country is not null)",
 }
 QUERIES = {
@@ -470,8 +587,9 @@ QUERIES = {
         clock_root_to_tip, clock_regression, clock_outliers, numeric_dates, aln_clean, aln_composition, aln_alphabet, aln_patterns,
         aln_differences, aln_distances, aln_unmatched_tips, aln_common_taxa, homoplasy_mutations, homoplasy_sites, homoplasy_top,
         homoplasy_histogram, homoplasy_poisson, homoplasy_strains, rate_statistics, gtr_inferred, path_statistics, equal_rates_transitions,
-        lineages_through_time, merger_rate_integral, trait_states, ancestral_marginal, ancestral_joint, ancestral_fitch, clock_best_root,
-        clock_min_deviation_root, clock_local_outliers, timetree_joint, timetree_marginal, timetree_full, coalescent_tc, traits_inferred,
+        lineages_through_time, merger_rate_integral, trait_states, aln_columns, aln_lengths, aln_full_length, tips_undated,
+        ancestral_marginal, ancestral_joint, ancestral_fitch, ancestral_inferred, models_inferred, clock_best_root, clock_min_deviation_root,
+        clock_covariation_root, clock_oldest_root, clock_local_outliers, timetree_joint, timetree_marginal, timetree_full, timetree_skyline, coalescent_tc, traits_inferred,
         branch_state_pairs, branch_lengths, optimised_trees, simulated_alignments, rate_susceptibility, tree_layout, coalescent_skyline,
         reassortment_clades, tree_newick, tree_nested_json,
     )

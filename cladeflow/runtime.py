@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_MADE: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benches; on a cluster the caller's session is used."""
+def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benches; on a cluster the caller's session is used.
+
+    shared: the folder for written tables (spark.checkpoint.dir); None: a temporary one.
+    """
+    if shared is None:
+        shared = "file://" + tempfile.mkdtemp(prefix="cladeflow_")
+        _MADE.append(shared)
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("cladeflow")
@@ -23,6 +31,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -31,14 +40,21 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir of the session.
+    """Folder that all executors share: spark.checkpoint.dir of the session, or what setCheckpointDir was given.
 
-    Only where that is unset (tests, one machine) a temporary folder of this process is used.
+    Only where both are unset on a single machine (master local) a temporary folder of this
+    process is used; on a cluster that is an error, as its machines share no such folder.
     """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not given:
+        set_dir = sc._jsc.sc().getCheckpointDir()
+        given = set_dir.get() if set_dir.isDefined() else None
     if given:
         return given
-    app = spark.sparkContext.applicationId
+    if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = sc.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="cladeflow_")
     return _OWN_DIR[app]
@@ -57,11 +73,10 @@ def cleanup() -> None:
     """Deletes the tables that materialize() has written in this process."""
     while _WRITTEN:
         _delete(*_WRITTEN.pop())
-    for d in _OWN_DIR.values():
-        import shutil
-
+    for d in [*_OWN_DIR.values(), *_MADE]:
         shutil.rmtree(d[len("file://") :], ignore_errors=True)
     _OWN_DIR.clear()
+    _MADE.clear()
 
 
 def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
@@ -73,7 +88,19 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cladeflow_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a table of materialize() that nothing reads any more, such as the last round of a loop."""
+    path = getattr(df, "_cladeflow_path", None)
+    for k, (spark, p) in enumerate(_WRITTEN):
+        if p == path:
+            _delete(spark, p)
+            del _WRITTEN[k]
+            return
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,16 +122,21 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int) -> DataFrame:
 
 
 def salt_hot(left: DataFrame, right: DataFrame, keys: list[str], row_id: str, rows_per_salt: int = 200_000) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of an equi-join with the column _cf_salt, and the keys to join on.
+    """Both sides of an equi-join, spread by the column _cf_salt where left keys are hot, and the keys to join on.
 
-    The rows of a left key with more than rows_per_salt rows are spread over salts, the right
-    rows of that key are repeated once per salt; all other keys have the one salt 0.
+    The hot keys are counted once and written. If there are none, both sides come back as they
+    are. Else the rows of a left key with more than rows_per_salt rows are spread over salts and
+    the right rows of that key repeated once per salt; all other keys have the one salt 0.
     """
-    hot = hot_keys(left, keys, rows_per_salt)
+    if left.limit(rows_per_salt + 1).count() <= rows_per_salt:  # too few rows for a hot key
+        return left, right, keys
+    hot = materialize(hot_keys(left, keys, rows_per_salt), "hot")
+    if hot.isEmpty():
+        return left, right, keys
     spread = F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_cf_salts")), F.lit(0)).cast("int")
-    left = left.join(hot, keys, "left").withColumn("_cf_salt", spread).drop("_cf_salts")
+    left = dimension_join(left, hot, keys, row_id).withColumn("_cf_salt", spread).drop("_cf_salts")
     each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cf_salts"), F.lit(1)) - 1))
-    right = right.join(hot, keys, "left").withColumn("_cf_salt", each).drop("_cf_salts")
+    right = dimension_join(right, hot, keys, keys[0]).withColumn("_cf_salt", each).drop("_cf_salts")
     return left, right, [*keys, "_cf_salt"]
 
 

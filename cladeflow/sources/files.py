@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,6 +68,34 @@ def read_phylip(spark: SparkSession, path) -> DataFrame:
     return rows.select(F.regexp_extract("v", r"^(\S+)", 1).alias("taxon"), F.regexp_replace(F.regexp_extract("v", r"^\S+\s+(.*)$", 1), r"\s", "").alias("seq"))
 
 
+def read_nexus_alignment(spark: SparkSession, path) -> DataFrame:
+    """taxon, seq of nexus files: the rows of their matrix, interleaved or not; quotes around names go."""
+    body = F.regexp_extract("text", r"(?is)\\bmatrix\\b(.*?);", 1)
+    rows = _whole(spark, path).select(F.posexplode(F.split(F.regexp_replace(body, r"\\[[^\\]]*\\]", ""), "\n")).alias("at", "v")).select("at", F.trim("v").alias("v"))
+    part = rows.where("length(v) > 0").select("at", F.regexp_extract("v", r"^('[^']*'|\\S+)\\s+", 1).alias("taxon"), F.regexp_replace(F.regexp_replace("v", r"^('[^']*'|\\S+)\\s+", ""), r"\\s", "").alias("s"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "s")))
+    return part.groupBy(F.regexp_replace("taxon", "^'|'$", "").alias("taxon")).agg(F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("seq"))
+
+
+def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """taxon, seq of a fasta, relaxed phylip or nexus file, told apart by the file's first line."""
+    first = next((r["value"].strip() for r in spark.read.text(path).limit(20).collect() if r["value"].strip()), "")
+    if first.lower().startswith("#nexus"):
+        return read_nexus_alignment(spark, path)
+    return (read_fasta(spark, path) if first.startswith(">") else read_phylip(spark, path)).select("taxon", "seq")
+
+
+def read_reference(spark: SparkSession, given: str) -> str:
+    """A reference sequence, upper case: the first of a fasta file, the origin of a genbank file, or the letters themselves."""
+    if re.fullmatch(r"[A-Za-z*-]+", given):
+        return given.upper()
+    first = spark.read.text(given).limit(1).collect()
+    if first and first[0]["value"].startswith("LOCUS"):
+        text = _whole(spark, given).first()["text"]
+        return re.sub(r"[^A-Za-z]", "", re.search(r"(?ms)^ORIGIN(.*?)^//", text)[1]).upper()
+    return read_fasta(spark, given).first()["seq"].upper()
+
+
 def read_metadata(spark: SparkSession, path) -> DataFrame:
     """Records of csv and tsv files before parsing (line_id, file_name, line_no, raw_line), quotes kept whole."""
 

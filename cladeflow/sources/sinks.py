@@ -51,6 +51,42 @@ def write_vcf(variants: DataFrame, samples: DataFrame, reference: str, path: str
     vcf_lines(variants, samples, reference, chrom).orderBy("key", "n").select("value").write.mode("overwrite").text(path)
 
 
+def _given(extra: dict, column: str, node) -> object | None:
+    """An attribute of a node; None where it is missing."""
+    v = extra[column].get(node) if column in extra else None
+    return None if v is None or (isinstance(v, float) and v != v) else v
+
+
+def _nested(t, extra: dict) -> dict:
+    """Nodes of a tree inside one another: name, divergence, attributes, and mutations on the branch.
+
+    date becomes num_date, with lower and upper as its confidence; bad_branch Yes or No;
+    mutations (a list of texts) go to branch_attrs, with the support that their number gives.
+    """
+    made: dict = {}
+    depth = t.depth()
+    for i in t.postorder:
+        get = lambda c, n=t.ids[i]: _given(extra, c, n)
+        attrs: dict = {"div": round(float(depth[i]), 9)}
+        for c in extra:
+            if c not in ("date", "lower", "upper", "mutations", "bad_branch") and get(c) is not None:
+                attrs[c] = {"value": get(c)}
+        if get("date") is not None:
+            attrs["num_date"] = {"value": round(float(get("date")), 6)}
+            if get("lower") is not None:
+                attrs["num_date"]["confidence"] = [round(float(get("lower")), 6), round(float(get("upper")), 6)]
+        if get("bad_branch") is not None:
+            attrs["bad_branch"] = {"value": "Yes" if get("bad_branch") else "No"}
+        made[i] = {"name": t.name[i], "node_attrs": attrs}
+        if get("mutations") is not None:
+            muts = list(get("mutations"))
+            made[i]["branch_attrs"] = {"mutations": {"nuc": muts}}
+            attrs["bootstrap"] = {"value": pseudo_bootstrap(len(muts))}
+        if t.children[i]:
+            made[i]["children"] = [made.pop(c) for c in t.children[i]]
+    return made[0]
+
+
 def tree_texts(nodes: DataFrame, kind: str = "newick", attributes: list[str] = ()) -> DataFrame:
     """tree_id, text: newick, nexus (attributes as comments) or nested JSON per tree."""
 
@@ -59,20 +95,13 @@ def tree_texts(nodes: DataFrame, kind: str = "newick", attributes: list[str] = (
         extra = {c: dict(zip(p["node_id"], p[c])) for c in attributes}
         for t in _trees(p):
             if kind == "json":
-                made: dict = {}
-                depth = t.depth()
-                for i in t.postorder:
-                    a = {c: {"value": extra[c][t.ids[i]]} for c in attributes if extra[c][t.ids[i]] == extra[c][t.ids[i]] and extra[c][t.ids[i]] is not None}
-                    made[i] = {"name": t.name[i], "node_attrs": {"div": round(float(depth[i]), 9), **a}}
-                    if t.children[i]:
-                        made[i]["children"] = [made.pop(c) for c in t.children[i]]
-                out.append((p["tree_id"].iloc[0], json.dumps({"version": "v2", "meta": {}, "tree": made[0]}, default=str)))
+                out.append((p["tree_id"].iloc[0], json.dumps({"version": "v2", "meta": {}, "tree": _nested(t, extra)}, default=str)))
                 continue
             if kind == "nexus":
                 plain = list(t.name)
                 text: dict = {}
                 for i in t.postorder:
-                    a = ",".join(f'{c}="{extra[c][t.ids[i]]}"' for c in attributes if extra[c][t.ids[i]] is not None)
+                    a = ",".join(f'{c}="{_shown(_given(extra, c, t.ids[i]))}"' for c in attributes if _given(extra, c, t.ids[i]) is not None)
                     inner = "(" + ",".join(text.pop(c) for c in t.children[i]) + ")" if t.children[i] else ""
                     text[i] = f"{inner}{plain[i] or ''}:{t.length[i]:.10g}" + (f"[&{a}]" if a else "")
                 names = " ".join(str(plain[i]) for i in t.tips)
@@ -84,12 +113,9 @@ def tree_texts(nodes: DataFrame, kind: str = "newick", attributes: list[str] = (
     return nodes.select(*NODE_COLUMNS, *attributes).groupBy("tree_id").applyInPandas(run, "tree_id string, text string")
 
 
-def pseudo_bootstrap(n_mutations: int) -> float:
-    return round(1 - math.exp(-n_mutations), 3)
-
-
-def branch_mutation_lines(mutations: DataFrame) -> DataFrame:
-    """node, state1, pos (from 1), state2 of branch mutations in order."""
-    return mutations.select(F.col("node_id").alias("node"), F.col("a").alias("state1"), "pos", F.col("d").alias("state2")).orderBy("node", "pos")
+def _shown(v) -> str:
+    return ",".join(map(str, v)) if hasattr(v, "__len__") and not isinstance(v, str) else f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
+def pseudo_bootstrap(n_mutations: int) -> float:
+    return round(1 - math.exp(-n_mutations), 3)

@@ -15,7 +15,7 @@ from cladeflow.runtime import dimension_join, read, salt_hot
 from cladeflow.sources import files, sinks
 from cladeflow.streaming.accumulate import event_windows, mutation_counts, sessions
 
-SLOW = {"optimised_trees", "coalescent_skyline"}
+SLOW = {"optimised_trees", "ancestral_inferred"}  # covered by the job tests
 
 
 @pytest.mark.parametrize("name", sorted(tree_queries.SQL))
@@ -32,7 +32,7 @@ def test_paths_of_a_deep_tree(spark):
     rows = [("t", i, i - 1 if i else None, 0, f"n{i}", i == 70, 1.0) for i in range(71)] + [("t", 100, 99, 0, "lost", True, 2.0)]
     n = spark.createDataFrame(rows, "tree_id string, node_id int, parent_id int, child_ix int, name string, is_tip boolean, branch_length double")
     p = {r["node_id"]: r for r in T.root_paths(n).collect()}
-    assert p[70]["depth"] == 70 and p[70]["dist2root"] == 70.0 and p[70]["root_id"] == 0 and p[70]["path"][0] == 69
+    assert p[70]["depth"] == 70 and p[70]["dist2root"] == 70.0 and p[70]["root_id"] == 0
     assert p[100]["depth"] == 0 and p[100]["root_id"] == 100
     loop = n.where("node_id < 2").withColumn("parent_id", 1 - F.col("node_id"))
     with pytest.raises(ValueError):
@@ -92,8 +92,13 @@ def test_ancestral_blocks_agree(spark):
 
 def test_patterns_keep_variable_columns(spark):
     aln = spark.createDataFrame([("t", "a", "AACAN"), ("t", "b", "AACCA"), ("t", "c", "AACAA")], "tree_id string, taxon string, seq string")
-    p = {r["pattern"]: r["multiplicity"] for r in AL.column_patterns(AL.site_letters(aln)).collect()}
+    patterns = AL.column_patterns(AL.site_letters(aln))
+    p = {r["pattern"]: r["multiplicity"] for r in patterns.collect()}
     assert p == {"AAA": 3, "CCC": 1, "ACA": 1}
+    longer = {r["pattern"]: r["multiplicity"] for r in AL.with_constant_sites(patterns, 13).collect()}
+    assert longer == {"AAA": 9, "CCC": 3, "ACA": 1}
+    odd = aln.unionByName(aln.limit(1).select("tree_id", F.lit("d").alias("taxon"), F.lit("AAT").alias("seq")))
+    assert AL.column_patterns(AL.site_letters(odd)).where("n_sites = 3").count() == 2  # no sequence is left out
     a = spark.createDataFrame([("k", 1, "C"), ("k", 2, "G")], "key string, pos int, state string")
     b = spark.createDataFrame([("k", 2, "G"), ("k", 3, "T")], "key string, pos int, state string")
     ref = spark.createDataFrame([(i, "A") for i in range(5)], "pos int, ref string")
@@ -211,21 +216,66 @@ def test_coalescent_option(spark, tmp_path):
             jobs.coalescent_model(wrong)
 
 
-def test_jobs(spark, tmp_path):
+def _job_files(tmp_path):
     rng = np.random.default_rng(1)
     base = "".join(rng.choice(list("ACGT"), 200))
     mutate = lambda s, k: "".join(c if i not in set(rng.choice(200, k)) else "ACGT"[("ACGT".index(c) + 1) % 4] for i, c in enumerate(s))
     seqs = {t: mutate(base, 4 + 2 * i) for i, t in enumerate("ABCDE")}
     (tmp_path / "t.nwk").write_text("(((A:0.02,B:0.03):0.01,C:0.05):0.01,(D:0.06,E:0.08):0.01);")
     (tmp_path / "a.fasta").write_text("".join(f">{k}\n{v}\n" for k, v in seqs.items()))
-    (tmp_path / "d.csv").write_text("name,date,country\nA,2003,x\nB,2004,x\nC,2005-06-01,y\nD,2006.5,y\nE,2008-XX-XX,?\n")
-    arg = ["--tree", str(tmp_path / "t.nwk"), "--aln", str(tmp_path / "a.fasta"), "--dates", str(tmp_path / "d.csv"), "--states", str(tmp_path / "d.csv"), "--attribute", "country", "--sequence-length", "200"]
+    (tmp_path / "d.csv").write_text("name,date,country\nA,2003,x\nB,25 Jan 2004,x\nC,2005-06-01T10:00:00Z,y\nD,2006.5,y\nE,2008-XX-XX,?\n")
+    (tmp_path / "m.txt").write_text("A,B,C\nD,E\n")
+    return ["--tree", str(tmp_path / "t.nwk"), "--aln", str(tmp_path / "a.fasta"), "--dates", str(tmp_path / "d.csv"), "--states", str(tmp_path / "d.csv"), "--attribute", "country", "--sequence-length", "200"]
+
+
+def _table(spark, path, sep="\t"):
+    return spark.read.csv(str(path), header=True, sep=sep)
+
+
+def test_jobs(spark, tmp_path):
+    arg = _job_files(tmp_path)
+    two = ["--trees", str(tmp_path / "t.nwk"), str(tmp_path / "t.nwk"), "--alignments", str(tmp_path / "a.fasta"), str(tmp_path / "a.fasta"), "--mccs", str(tmp_path / "m.txt")]
     for job in jobs.JOBS:
         out = tmp_path / job
-        assert jobs.main([job, *arg, "--outdir", str(out)], spark) == 0
+        assert jobs.main([job, *arg, *two, "--outdir", str(out), "--gtr", "jc69"], spark) == 0
         assert any(out.iterdir())
+    assert _table(spark, tmp_path / "timetree/dates").where("node in ('A', 'B', 'C', 'D', 'E')").count() == 5
+    assert {"round", "log_lh", "moved"} <= set(_table(spark, tmp_path / "timetree/trace").columns)
+    tree = json.loads(spark.read.text(str(tmp_path / "timetree/tree_json")).first()[0])["tree"]
+    tip = tree
+    while "children" in tip:
+        tip = tip["children"][0]
+    assert tip["node_attrs"]["num_date"]["value"] > 2002 and "mutations" in tip["branch_attrs"] and tip["node_attrs"]["bad_branch"]["value"] == "No"
     assert jobs.main(["clock", *arg, "--keep-root", "--outdir", str(tmp_path / "kept")], spark) == 0
-    assert spark.read.csv(str(tmp_path / "kept/rtt"), header=True).count() == 5
+    assert _table(spark, tmp_path / "kept/rtt", ",").count() == 5
+    assert _table(spark, tmp_path / "arg/dates_1").count() == 9
+    kept = spark.read.text(str(tmp_path / "ancestral/ancestral_sequences")).where("value like '>%'").count()
+    assert kept == 9
+
+
+def test_job_options_have_effects(spark, tmp_path):
+    arg = _job_files(tmp_path)
+
+    def dates(name, *more):
+        out = tmp_path / name
+        assert jobs.main(["timetree", *arg, "--outdir", str(out), *more], spark) == 0
+        return sorted(tuple(r) for r in _table(spark, out / "dates").collect())
+
+    plain = dates("plain", "--gtr", "jc69", "--keep-root")
+    assert dates("inferred", "--keep-root") != plain  # the model is inferred
+    assert _table(spark, tmp_path / "inferred/sequence_evolution_models").count() == 1
+    assert dates("input", "--gtr", "jc69", "--keep-root", "--branch-length-mode", "input") != plain
+    assert dates("rate", "--gtr", "jc69", "--keep-root", "--clock-rate", "0.001") != plain
+    assert dates("oldest", "--gtr", "jc69", "--reroot", "oldest") != plain
+    sky = dates("sky", "--gtr", "jc69", "--keep-root", "--coalescent", "skyline", "--confidence", "--n-skyline", "5")
+    assert all(r[2] is not None for r in sky) and _table(spark, tmp_path / "sky/skyline").count() == 5
+    assert jobs.fresh_folder("x").endswith("_x")
+    short = tmp_path / "short.fasta"
+    short.write_text((tmp_path / "a.fasta").read_text().replace(">E\n", ">E\nACG"))
+    with pytest.raises(SystemExit):
+        jobs.main(["ancestral", *arg, "--aln", str(short), "--outdir", str(tmp_path / "no")], spark)
+    assert jobs.main(["ancestral", *arg, "--aln", str(short), "--align", "--gtr", "jc69", "--outdir", str(tmp_path / "yes")], spark) == 0
+    assert _table(spark, tmp_path / "yes/aligned").first()["status"] == "aligned"
 
 
 def test_streams(spark, small, tmp_path):
