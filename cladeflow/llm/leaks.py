@@ -8,7 +8,9 @@ items of scripts without spaces they are runs of GRAM letters and digits.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import math
 import re
 import sys
 import unicodedata
@@ -195,33 +197,112 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n_words: int = 12, n_lett
     found = full.select("doc_id", "item_id", "shift").distinct().groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts"))
     kinds = terms.groupBy("item_id").agg(F.first("spaceless").alias("spaceless"))
     passages = materialize(items.join(kinds, "item_id").select("item_id", "spaceless", F.col("text").alias("passage")), "passages")
-    # only the texts of documents with candidates are held together by doc_id
-    texts = docs.join(found, "doc_id").groupBy("doc_id", "item_id").agg(F.max("text").alias("text"), F.first("shifts").alias("shifts"))
+    # only the texts of documents with candidates travel; few candidates are broadcast, and then none do
+    found = materialize(found, "candidates")
+    texts = dimension_join(docs, found, ["doc_id"], "text", "inner").groupBy("doc_id", "item_id").agg(F.max("text").alias("text"), F.first("shifts").alias("shifts"))
     checked = dimension_join(texts, passages, ["item_id"], "doc_id", "inner")
     return checked.select("doc_id", "item_id", "spaceless", "shifts", "text", "passage").mapInPandas(
         _runs(n_words, n_letters), "doc_id bigint, item_id bigint, length int"
     )
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, n_words: int = 12, n_letters: int = 24, rarest: int = 4, least: int = 3, slop: int = 4) -> DataFrame:
-    """doc_id, item_id, n_terms: passages whose rarest terms occur near their places.
+def _needed(size: int, share: float) -> int:
+    return max(2, math.ceil(share * size - 1e-9))
 
-    At least ``least`` of the ``rarest`` rarest terms of some window lie within ``slop`` places
-    of where the item has them; n_terms is the most that any window reaches. Null, empty and
-    repeated rows as in leaked_passages.
+
+def _sought(n_words: int, n_letters: int, share: float):
+    """The places of an item's windows that are looked up: in each window so many of its rarest terms that two of them must be met."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        spaceless = bool(pdf["spaceless"].iloc[0])
+        size = n_letters - GRAM + 1 if spaceless else n_words
+        df, term = pdf["df"].fillna(0).to_numpy(), pdf["term"].to_numpy()
+        enough = size - _needed(size, share) + 2
+        chosen: set = set()
+        for w in range(len(df) - size + 1):
+            chosen.update((w + np.argsort(df[w : w + size], kind="stable")[:enough]).tolist())
+        at = [k for k in sorted(chosen) if df[k] > 0]
+        return pd.DataFrame({"item_id": pdf["item_id"].iloc[0], "spaceless": spaceless, "at": at, "term": term[at]}).astype({"at": "int32"})
+
+    return run
+
+
+def best_window(doc_at: dict, item: list, size: int, slop: int, bins: list[int]) -> int:
+    """The most terms of any window of an item that lie within slop places of theirs, for one shift out of the bins."""
+    best = 0
+    for b in bins:
+        low = 2 * slop * b - slop
+        met = np.zeros((6 * slop + 1, len(item)), bool)
+        for k, term in enumerate(item):
+            at = doc_at.get(term, ())
+            for p in at[bisect.bisect_left(at, k + low - slop) : bisect.bisect_right(at, k + low + 7 * slop)]:
+                i = p - k - low
+                met[max(0, i - slop) : i + slop + 1, k] = True
+        run = np.cumsum(np.pad(met, ((0, 0), (1, 0))), axis=1)
+        best = max(best, int((run[:, size:] - run[:, :-size]).max(initial=0)))
+    return best
+
+
+def _near(n_words: int, n_letters: int, share: float, slop: int, passages: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = passages.value
+        cache: dict = {}
+        for b in batches:
+            rows = []
+            for i, text, found in zip(b["doc_id"], b["text"], b["found"]):
+                t = normal(text)
+                places: dict = {}
+                for f in found:
+                    spaceless, passage = held[f["item_id"]]
+                    if f["item_id"] not in cache:
+                        cache[f["item_id"]] = _terms(normal(passage), spaceless)
+                    if spaceless not in places:
+                        at: dict[str, list[int]] = {}
+                        for k, term in enumerate(_terms(t, spaceless)):
+                            at.setdefault(term, []).append(k)
+                        places[spaceless] = at
+                    size = n_letters - GRAM + 1 if spaceless else n_words
+                    n = best_window(places[spaceless], cache[f["item_id"]], size, slop, list(f["bins"]))
+                    if n >= _needed(size, share):
+                        rows.append((i, f["item_id"], n))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_terms"]).astype({"n_terms": "int32"})
+
+    return run
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, n_words: int = 12, n_letters: int = 24, share: float = 0.8, slop: int = 4, broadcast_up_to: int = 50_000) -> DataFrame:
+    """doc_id, item_id, n_terms: documents that hold most of a passage, with words replaced, added or left out.
+
+    A match: for some window of n_words consecutive words of an item and one shift, at least the
+    share of the window's words occur in the document within slop places of where the shift
+    puts them; n_terms is the most that any window reaches. Items in zh and ja: the grams of
+    n_letters letters. All matches are found: of the rarest terms of a window so many are looked
+    up in the positional index that two of them must be among the matched ones; documents with
+    two in one bin of shifts are then compared in full. What else the corpus holds changes which
+    terms are looked up, not what is found. Null, empty and repeated rows as in leaked_passages;
+    an item shorter than a window has no match. Of more than broadcast_up_to items the passages
+    would not be held whole: that is an error.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and length(text) > 0")
-    items = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "lang", "text").dropDuplicates(["item_id"])
+    one = F.max(F.struct("text", "lang")).alias("x")
+    items = items.where("item_id is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(one).select("item_id", "x.text", "x.lang")
     terms = materialize(items.mapInPandas(_item_terms, _ITEM_TERMS), "terms")
     index = positional_index(docs, terms)
     df = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    anchors = terms.drop("written").join(df, "term", "left").fillna(1, ["df"]).groupBy("item_id").applyInPandas(_anchors(n_words, n_letters, rarest), _ANCHOR)
-    anchors = materialize(anchors, "anchors")
-    hits = dimension_join(index, anchors, ["term"], "doc_id", "inner").select(
-        "doc_id", "item_id", "window", "at", F.explode("positions").alias("p")
-    )
-    shift = F.col("p") - F.col("at")
-    # shifts that differ by at most slop share one of two overlapping bins
-    bins = F.explode(F.array_distinct(F.array(F.floor(shift / (2 * slop)), F.floor((shift + slop) / (2 * slop)) + F.lit(0.5))))
-    near = hits.select("doc_id", "item_id", "window", "at", bins.alias("bin")).groupBy("doc_id", "item_id", "window", "bin").agg(F.countDistinct("at").alias("n"))
-    return near.where(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("n_terms"))
+    sought = terms.drop("written").join(df, "term", "left").groupBy("item_id").applyInPandas(_sought(n_words, n_letters, share), "item_id bigint, spaceless boolean, at int, term bigint")
+    sought = materialize(sought, "sought")
+    hits = dimension_join(index, sought.select("item_id", "at", "term"), ["term"], "doc_id", "inner").select("doc_id", "item_id", "at", F.explode("positions").alias("p"))
+    # bins of 4 * slop shifts that overlap by half: two terms met under one shift share one
+    base = F.floor((F.col("p") - F.col("at")) / (2 * slop)).cast("int")
+    near = hits.select("doc_id", "item_id", "at", F.explode(F.array(base, base - 1)).alias("bin"))
+    two = near.groupBy("doc_id", "item_id", "bin").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b")
+    per_item = two.groupBy("doc_id", "item_id").agg(F.collect_set("bin").alias("bins"))
+    found = materialize(per_item.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "bins")).alias("found")), "candidates")
+    kinds = terms.groupBy("item_id").agg(F.first("spaceless").alias("spaceless"))
+    passages = items.join(kinds, "item_id").select("item_id", "spaceless", "text")
+    if passages.limit(broadcast_up_to + 1).count() > broadcast_up_to:
+        raise ValueError(f"more than {broadcast_up_to} items: match them in parts")
+    held = docs.sparkSession.sparkContext.broadcast({r["item_id"]: (r["spaceless"], r["text"]) for r in passages.collect()})
+    texts = dimension_join(docs, found, ["doc_id"], "text", "inner").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("found").alias("found"))
+    return texts.mapInPandas(_near(n_words, n_letters, share, slop, held), "doc_id bigint, item_id bigint, n_terms int")

@@ -45,26 +45,42 @@ def _features(text: str | None, lang: str | None, size: int) -> np.ndarray:
     return v / max(1e-6, float(np.linalg.norm(v)))
 
 
-def fit_classifier(labelled: DataFrame, classes: list[str], sample: int = 4_000, size: int = 1_024, rounds: int = 150) -> np.ndarray:
-    """Softmax weights (size + 1, classes) from at most ``sample`` labelled rows, the first by a hash of doc_id."""
-    weights = np.zeros((size + 1, len(classes)), np.float32)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
+    weights = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    for _ in range(rounds):
+        weights -= 2.0 * (x.T @ (_softmax(x @ weights) - y) / len(x) + 1e-3 * weights)
+    return weights
+
+
+def fit_classifier(labelled: DataFrame, classes: list[str], sample: int = 4_000, size: int = 1_024, rounds: int = 150, held_out: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """(softmax weights (size + 1, classes), whether any labelled row has the class, accuracy on held-out rows).
+
+    Fitted to at most ``sample`` labelled rows, the first by a hash of doc_id; all are counted.
+    Every held_out-th row is left out of a first fit, whose accuracy on them is given (nan with
+    too few rows); the weights come from all rows.
+    """
     # a hash range with about twice the sample is cut out first, so that little is sorted
-    share = min(1.0, 2.0 * sample / max(1, labelled.count()))
+    n = {r["class"]: r["n"] for r in labelled.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = np.array([n.get(c, 0) > 0 for c in classes])
+    share = min(1.0, 2.0 * sample / max(1, sum(n.values())))
     some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "lang", "class").collect()
     if not rows:
-        return weights
+        return np.zeros((size + 1, len(classes)), np.float32), np.ones(len(classes), bool), float("nan")
     x = np.stack([np.append(_features(r["text"], r["lang"], size), np.float32(1)) for r in rows])
-    y = np.eye(len(classes), dtype=np.float32)[[classes.index(r["class"]) for r in rows]]
-    for _ in range(rounds):
-        z = x @ weights
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        weights -= 2.0 * (x.T @ (p - y) / len(rows) + 1e-3 * weights)
-    return weights
+    label = np.array([classes.index(r["class"]) for r in rows])
+    y = np.eye(len(classes), dtype=np.float32)[label]
+    out = np.arange(len(x)) % held_out == held_out - 1
+    right = float((np.argmax(x[out] @ _fitted(x[~out], y[~out], rounds), axis=1) == label[out]).mean()) if out.any() else float("nan")
+    return _fitted(x, y, rounds), there, right
 
 
-def _measure(path: str, weights: np.ndarray, classes: list[str], grid: int):
+def _measure(path: str, weights: np.ndarray, there: np.ndarray, classes: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(path)
         size = len(weights) - 1
@@ -72,36 +88,47 @@ def _measure(path: str, weights: np.ndarray, classes: list[str], grid: int):
             n = [len(e.ids) for e in t.encode_batch(b["text"].tolist(), add_special_tokens=False)]
             post = []
             for text, lang, c in zip(b["text"], b["lang"], b["class"]):
-                if c is not None:
+                if c is not None:  # the source is known
                     post.append([float(c == k) for k in classes])
-                    continue
-                z = np.append(_features(text, lang, size), np.float32(1)) @ weights
-                p = np.exp(z - z.max())
-                p = np.floor(p / p.sum() * grid) / grid
-                p[int(np.argmax(z))] += 1 - p.sum()
-                post.append([float(v) for v in p])
+                else:
+                    z = np.append(_features(text, lang, size), np.float32(1)) @ weights
+                    post.append(_softmax(np.where(there, z.astype(float), -np.inf)[None, :])[0].tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "class": b["class"], "n_tokens": n, "posterior": post}).astype({"n_tokens": "int64"})
 
     return run
 
 
-def _rates(history: list[np.ndarray], start: float, cap: Column) -> Column:
-    """Rate of a document after the steps so far: each moves it by its posterior's share of the residuals."""
-    lam = F.array(*[F.array(*[F.lit(float(v)) for v in h]) for h in history]) if history else None
-    first = F.least(F.lit(float(start)), cap)
-    if lam is None:
-        return first
+def fitted_rates(tokens: np.ndarray, caps: np.ndarray, want: np.ndarray, free: np.ndarray, rounds: int = 20_000, tolerance: float = 1e-6, waste: float = 3e-3) -> tuple[np.ndarray, float, int]:
+    """(rate per stratum, largest residual as a share of all wanted tokens, rounds) of a least-squares fit by projected gradient steps.
 
-    def step(r: Column, h: Column) -> Column:
-        move = F.aggregate(F.zip_with("posterior", h, lambda p, v: p * v), F.lit(0.0), lambda a, v: a + v)
-        return F.greatest(F.lit(0.0), F.least(cap, r - move))
-
-    return F.aggregate(lam, first, step)
+    tokens [stratum, class]: expected tokens of a stratum drawn once; caps: its greatest rate;
+    want: tokens per class, free: classes without a target; what a stratum has more of these
+    than of the others costs ``waste`` a token. Steps follow the gradient of half the squared
+    residuals plus that cost, with momentum, and are projected on 0 <= rate <= cap.
+    """
+    a = tokens * ~free
+    total = max(float(want.sum()), 1e-300)
+    scaled, cost = a / total, waste * np.maximum(0.0, tokens[:, free].sum(axis=1) - tokens[:, ~free].sum(axis=1)) / total
+    norm = float(np.linalg.norm(scaled, 2)) ** 2 if scaled.size else 0.0
+    rate = np.zeros(len(tokens))
+    if norm == 0:
+        return rate, float(np.abs(want[~free]).max(initial=0.0) / total) if want.sum() > 0 else 0.0, 0
+    goal = np.where(free, 0.0, want) / total
+    ahead, speed, k = rate.copy(), 1.0, 0
+    for k in range(1, rounds + 1):
+        new = np.clip(ahead - (scaled @ (scaled.T @ ahead - goal) + cost) / norm, 0.0, caps)
+        if (not cost.any() and np.abs(scaled.T @ new - goal).max() <= tolerance) or np.abs(new - rate).max() <= 1e-7:
+            rate = new
+            break
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        ahead = new + (speed - 1) / faster * (new - rate)
+        rate, speed = new, faster
+    return rate, float(np.abs(scaled.T @ rate - goal).max()), k
 
 
 def mix_sources(
     docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER,
-    sample: int = 4_000, grid: int = 50, rounds: int = 40, tolerance: float = 1e-4,
+    sample: int = 4_000, strata: int = 10, may: float = 0.02,
 ) -> tuple[DataFrame, DataFrame]:
     """(draws, shares): how often each document is used, and the share that each source reaches.
 
@@ -109,15 +136,21 @@ def mix_sources(
     source (as spelled in the targets), n_tokens, rate, repeats - one row per document with a
     doc_id; null and empty texts have 0 tokens and no repeats. shares: source, target_share,
     wanted_share (over the sources that have documents), n_docs, n_tokens, drawn_tokens,
-    actual_share, most_repeats, max_repeats.
-    Documents without a source get posteriors over the target sources from a classifier that
-    is fitted to a bounded sample of labelled rows; posteriors are rounded to 1 / grid. Their
-    cap is the least max_repeats above 0 of all target sources, and 0 if they may be from one
-    whose max_repeats is 0 or from no target source.
-    Documents of sources without a target are not drawn; that part of a posterior only counts. total_tokens None: the most at which every source with documents reaches its share.
+    actual_share, most_repeats, max_repeats, and of the fit: residual (the largest, as a share
+    of all tokens), rounds, and the classifier's accuracy on held-out labelled rows.
+    A document with a source has the posterior 1 for it: it is observed. Documents without one
+    get posteriors over all sources from a classifier that is fitted to a bounded sample of
+    labelled rows (sample). Their cap is the least max_repeats of the target sources that they
+    are from with a probability of at least may, and at most the least above 0 of all; sources
+    without a target are no reason to forbid a document: they weigh against it, as that part of
+    its tokens serves no target, and count as drawn tokens of none. Documents known to be of a
+    source without a target are not drawn. total_tokens None: the most at which every source
+    with documents reaches its share.
     The rates solve a least-squares fit of expected tokens per source to the targets by
-    projected gradient steps over all documents; documents of equal posterior and cap are one
-    group, summed before the steps. Rates become whole repeats by a hash of doc_id.
+    projected gradient steps. Documents of one source, or of one likeliest source, one cap and
+    one of ``strata`` ranges of its probability have one rate; their expected tokens per source
+    are summed over all documents, so that the steps run on a table of bounded size and fit
+    the sums exactly. Rates become whole repeats by a hash of doc_id.
     """
     goal = targets.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     goal_rows = sorted(goal.groupBy("source").agg(F.sum("target_share").alias("q"), F.max("max_repeats").alias("m")).collect())
@@ -129,76 +162,68 @@ def mix_sources(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), named.alias("source")
     ).where("doc_id is not null")
     src = src.withColumn("class", F.when(F.col("source").isin(*classes[:-1]), F.col("source")).when(F.col("source").isNotNull(), F.lit(OTHER)))
-    weights = fit_classifier(src.where(F.col("class").isNotNull()), classes, sample)
-    measured = materialize(
-        src.mapInPandas(_measure(tokenizer, weights, classes, grid), "doc_id bigint, source string, class string, n_tokens bigint, posterior array<double>"),
-        "measured",
-    )
-    # OTHER has no cap of its own: it counts through the posterior
+    weights, there, accuracy = fit_classifier(src.where(F.col("class").isNotNull()), classes, sample)
+    measured = src.mapInPandas(_measure(tokenizer, weights, there, classes), "doc_id bigint, source string, class string, n_tokens bigint, posterior array<double>")
     cap_list = F.array(*[F.lit(float(c)) for c in caps[:-1]]).cast("array<double>")
-    target_part = F.slice("posterior", 1, len(classes) - 1)
-    may = F.filter(F.arrays_zip(target_part.alias("p"), cap_list.alias("m")), lambda x: x["p"] > 0)
-    cap = F.coalesce(F.array_min(F.transform(may, lambda x: x["m"])), F.lit(0.0))
-    # a posterior rounded to 0 still leaves a source possible: without a class the least cap of any holds
-    least = float(min((c for c in caps[:-1] if c > 0), default=0.0))
-    capped = measured.withColumn("cap", F.when(F.col("class").isNull(), F.least(cap, F.lit(least))).otherwise(cap))
-    groups = materialize(capped.groupBy("posterior", "cap").agg(F.sum("n_tokens").cast("double").alias("t")), "groups")
-
-    def totals(rate: Column) -> np.ndarray:
-        one = groups.withColumn("_w", rate * F.col("t")).select(
-            *[F.sum(F.col("_w") * F.col("posterior")[k]).alias(f"c{k}") for k in range(len(classes))]
-        )
-        return np.array([v or 0.0 for v in one.first()])
-
-    there = totals(F.lit(1.0))
-    most = totals(F.col("cap"))
-    live = (q > 0) & (there > 0) & (most > 0)
+    likely = F.filter(F.arrays_zip(F.slice("posterior", 1, len(classes) - 1).alias("p"), cap_list.alias("m")), lambda x: x["p"] >= may)
+    least = F.lit(float(min((c for c in caps[:-1] if c > 0), default=0.0)))
+    of_class = F.element_at(F.create_map(*[x for c, m in zip(classes, caps) for x in (F.lit(c), F.lit(float(m)))]), F.col("class"))
+    unknown = F.least(F.coalesce(F.array_min(F.transform(likely, lambda x: x["m"])), least), least)
+    top = (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")
+    part = F.least(F.floor(F.array_max("posterior") * strata), F.lit(strata - 1)).cast("int")
+    measured = measured.withColumn("cap", F.when(F.col("class").isNull(), unknown).otherwise(of_class))
+    measured = measured.withColumn("stratum", F.concat_ws("/", F.when(F.col("class").isNull(), F.lit("?")).otherwise("="), top.cast("string"), F.when(F.col("class").isNull(), part.cast("string")), F.col("cap").cast("int").cast("string")))
+    measured = materialize(measured, "measured")
+    sums = measured.groupBy("stratum", "cap").agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[k]).alias(f"c{k}") for k in range(len(classes))])
+    rows = sorted(sums.collect())  # at most classes * (1 + strata * caps) rows
+    tokens = np.array([[r[f"c{k}"] or 0.0 for k in range(len(classes))] for r in rows]).reshape(len(rows), len(classes))
+    cap = np.array([r["cap"] for r in rows], float)
+    most = cap @ tokens if len(rows) else np.zeros(len(classes))
+    live = (q > 0) & (most > 0)
     wanted = np.where(live, q, 0.0)
     wanted = wanted / wanted.sum() if wanted.sum() > 0 else wanted
-    if total_tokens is None:
-        total = float(min((most[k] / wanted[k] for k in np.flatnonzero(live)), default=0.0))
-    else:
-        total = float(total_tokens)
-    want = wanted * total
-    scale = np.maximum(there, 1.0)
-    history: list[np.ndarray] = []
-    for _ in range(rounds):
-        got = totals(_rates(history, 0.0, F.col("cap")))
-        residual = got - want
-        residual[-1] = 0.0
-        if total == 0 or np.abs(residual).max() <= tolerance * total:
-            break
-        history.append(residual / scale)
-    rated = materialize(capped.withColumn("rate", _rates(history, 0.0, F.col("cap"))), "rated")
-    # whole repeats: within a class the cut through the hashes is where the tokens fit best
+    total = float(total_tokens) if total_tokens is not None else float(min((most[k] / wanted[k] for k in np.flatnonzero(live)), default=0.0))
+    free = np.zeros(len(classes), bool)
+    free[-1] = True
+    rates, residual, rounds = fitted_rates(tokens, cap, wanted * total, free)
+    plan_rates = {r["stratum"]: float(x) for r, x in zip(rows, rates)}
+    rate = F.coalesce(F.element_at(F.create_map(*[x for k, v in plan_rates.items() for x in (F.lit(k), F.lit(v))]), F.col("stratum")), F.lit(0.0)) if plan_rates else F.lit(0.0)
+    rated = measured.withColumn("rate", rate)
+    # whole repeats: within a stratum the cut through the hashes is where the tokens fit best
     bins = 4096
     u = F.pmod(F.xxhash64("doc_id"), F.lit(bins))
-    part = F.col("rate") - F.floor("rate")
-    hist = rated.where("class is not null").groupBy("class", u.alias("b")).agg(F.sum("n_tokens").alias("t"), F.max(part).alias("f"))
+    hist = measured.groupBy("stratum", u.alias("b")).agg(F.sum("n_tokens").alias("t"))
     cut: dict[str, int] = {}
-    for c, rows in pd.DataFrame([tuple(r) for r in hist.collect()], columns=["c", "b", "t", "f"]).groupby("c"):
-        rows = rows.sort_values("b")
-        need = float(rows["f"].max()) * rows["t"].sum()
-        reach = np.r_[0, rows["t"].cumsum().to_numpy()]
+    for c, g in pd.DataFrame([tuple(r) for r in hist.collect()], columns=["c", "b", "t"]).groupby("c"):
+        g = g.sort_values("b")
+        need = (plan_rates[c] % 1.0) * g["t"].sum()
+        reach = np.r_[0, g["t"].cumsum().to_numpy()]
         k = int(np.argmin(np.abs(reach - need)))
-        cut[c] = 0 if k == 0 else int(rows["b"].iloc[k - 1]) + 1
-    cuts = functools.reduce(lambda a, x: a.when(F.col("class") == x[0], F.lit(x[1])), cut.items(), F.when(F.lit(False), F.lit(0)))
-    more = (u < F.when(F.col("class").isNotNull(), cuts).otherwise(part * bins)).cast("int")
-    repeats = F.when(F.col("n_tokens") > 0, F.least(F.floor("rate").cast("int") + more, F.col("cap").cast("int"))).otherwise(0)
+        cut[c] = 0 if k == 0 else int(g["b"].iloc[k - 1]) + 1
+    cuts = F.coalesce(F.element_at(F.create_map(*[x for k, v in cut.items() for x in (F.lit(k), F.lit(v))]), F.col("stratum")), F.lit(0)) if cut else F.lit(0)
+    repeats = F.when(F.col("n_tokens") > 0, F.least(F.floor("rate").cast("int") + (u < cuts).cast("int"), F.col("cap").cast("int"))).otherwise(0)
     draws = rated.select("doc_id", "source", "n_tokens", "posterior", "rate", repeats.alias("repeats"))
-    per = draws.select("source", "n_tokens", "repeats", F.posexplode("posterior").alias("k", "p")).where("p > 0")
-    sums = per.groupBy("k").agg(
-        F.sum(F.col("p")).alias("n_docs"), F.sum(F.col("p") * F.col("n_tokens")).alias("n_tokens"),
-        F.sum(F.col("p") * F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"),
-    )
-    plan = draws.sparkSession.createDataFrame(
-        [(k, c, float(q[k]), float(wanted[k]), int(caps[k])) for k, c in enumerate(classes)],
-        "k int, source string, target_share double, wanted_share double, max_repeats int",
-    )
-    all_drawn = sums.agg(F.sum("drawn_tokens").alias("_all"))
-    shares = plan.join(sums, "k", "left").fillna(0.0, ["n_docs", "n_tokens", "drawn_tokens"]).fillna(0, ["most_repeats"])
-    shares = shares.crossJoin(all_drawn).select(  # a single row
-        "source", "target_share", "wanted_share", "n_docs", "n_tokens", "drawn_tokens",
-        F.when(F.col("_all") > 0, F.col("drawn_tokens") / F.col("_all")).otherwise(0.0).alias("actual_share"), "most_repeats", "max_repeats",
+    p = lambda k: F.col("posterior")[k]
+    aggregates = [
+        x
+        for k in range(len(classes))
+        for x in (
+            F.sum(p(k)).alias(f"d{k}"), F.sum(p(k) * F.col("n_tokens")).alias(f"t{k}"), F.sum(p(k) * F.col("n_tokens") * F.col("repeats")).alias(f"r{k}"),
+            F.max(F.when(p(k) >= may, F.col("repeats"))).alias(f"m{k}"),
+        )
+    ]
+    plan = [
+        F.struct(
+            F.lit(c).alias("source"), F.lit(float(q[k])).alias("target_share"), F.lit(float(wanted[k])).alias("wanted_share"), F.coalesce(F.col(f"d{k}"), F.lit(0.0)).alias("n_docs"),
+            F.coalesce(F.col(f"t{k}"), F.lit(0.0)).alias("n_tokens"), F.coalesce(F.col(f"r{k}"), F.lit(0.0)).alias("drawn_tokens"),
+            F.coalesce(F.col(f"m{k}"), F.lit(0)).alias("most_repeats"), F.lit(int(caps[k])).alias("max_repeats"),
+        )
+        for k, c in enumerate(classes)
+    ]
+    shares = draws.agg(*aggregates).select(F.explode(F.array(*plan)).alias("x"), functools.reduce(lambda a, b: a + b, [F.coalesce(F.col(f"r{k}"), F.lit(0.0)) for k in range(len(classes))]).alias("_all"))
+    shares = shares.select(
+        "x.source", "x.target_share", "x.wanted_share", "x.n_docs", "x.n_tokens", "x.drawn_tokens",
+        F.when(F.col("_all") > 0, F.col("x.drawn_tokens") / F.col("_all")).otherwise(0.0).alias("actual_share"), "x.most_repeats", "x.max_repeats",
+        F.lit(residual).alias("residual"), F.lit(rounds).alias("rounds"), F.lit(accuracy).alias("accuracy"),
     )
     return draws.drop("posterior"), shares

@@ -7,13 +7,16 @@ pair of similarity J each of the first ``sketch`` grams of the union is shared w
 J, so a pair meets in no bucket with probability (1 - J) ** sketch at most: 1e-6 at J = 0.5 and
 20 grams, less for anything more alike.
 
-Within a bucket the rows form a signature tree: nodes hold the OR of their rows' bitmaps, the
-range of the set sizes and the largest slack (grams that share a bit with another). Two nodes
-share at most popcount(OR1 & OR2) + min(slack) grams, so the dual traversal drops a pair of
-nodes where this, or the size ranges, can't reach the threshold. All buckets of a task are
-traversed together, level by level, as arrays. Buckets with more rows than ``block`` are cut
-into blocks, and each pair of blocks is a task of its own. Row pairs that are left are compared
-exactly by their texts.
+Within a bucket the rows form a signature tree: sorted so that rows with the same first grams
+are neighbours, nodes hold the OR of their rows' bitmaps, the range of the set sizes and the
+largest slack (grams that share a bit with another). Two nodes share at most
+popcount(OR1 & OR2) + min(slack) grams, so the dual traversal drops a pair of nodes where this,
+or the size ranges, can't reach the threshold. Nodes above the rows have bitmaps ``widen`` times
+as long, which are folded for the rows: ORs of unlike rows fill short ones up. Buckets whose
+smallest row is the same go to one task, so that a row's bitmap travels once per task and not
+once per bucket. All buckets of a task are traversed together, level by level, as arrays.
+Buckets with more rows than ``block`` are cut into blocks, and each pair of blocks is a task of
+its own. Row pairs that are left are compared exactly by their texts.
 """
 
 from __future__ import annotations
@@ -74,22 +77,28 @@ def _sketches(n: int, sketch: int, bits: int):
     return run
 
 
-def _build(groups: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fan: int) -> list[dict]:
-    """Levels of the signature trees of all groups (sorted ids); level 0 holds the rows."""
-    slack = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
-    levels = [{"or": bitmaps, "lo": sizes, "hi": sizes, "slack": slack, "group": groups}]
+def _folded(bitmaps: np.ndarray, times: int) -> np.ndarray:
+    """Bitmaps a ``times``-th as long: the position of a gram is taken modulo the shorter length."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), times, -1), axis=1)
+
+
+def _build(groups: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fan: int, fold: int = 1) -> list[dict]:
+    """Levels of the signature trees of all groups (sorted ids); level 0 holds the rows, with folded bitmaps."""
+    slack = lambda b: sizes - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+    short = _folded(bitmaps, fold)
+    levels = [{"or": short, "lo": sizes, "hi": sizes, "slack": slack(short), "group": groups}]
+    low = {"or": bitmaps, "lo": sizes, "hi": sizes, "slack": slack(bitmaps), "group": groups}
     while True:
-        low = levels[-1]
         g = low["group"]
         start = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1]
         count = np.diff(np.r_[start, len(g)])
-        if (count == 1).all():
+        if len(levels) > 1 and (count == 1).all():
             return levels
         parts = -(-count // fan)
         of = np.repeat(np.arange(len(start)), parts)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first = start[of] + within * fan
-        levels.append(
+        low = (
             {
                 "or": np.bitwise_or.reduceat(low["or"], first, axis=0),
                 "lo": np.minimum.reduceat(low["lo"], first),
@@ -100,6 +109,7 @@ def _build(groups: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fan: int)
                 "last": np.r_[first[1:], len(g)],
             }
         )
+        levels.append(low)
 
 
 def _keep(a: dict, i: np.ndarray, b: dict, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -123,10 +133,11 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[of], of
 
 
-def _dual(a: list[dict], b: list[dict] | None, num: int, den: int, most_pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def _dual(a: list[dict], b: list[dict] | None, num: int, den: int, most_pairs: int = 4_000_000, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of the same group left by the dual traversal of trees a and b (None: a with itself).
 
-    Groups are traversed together as long as they hold at most about most_pairs row pairs.
+    Groups are traversed together as long as they hold at most about most_pairs row pairs. seen:
+    gets the node pairs compared and dropped per level, level 0 being the rows.
     """
     own = b is None
     b = a if own else b
@@ -143,13 +154,22 @@ def _dual(a: list[dict], b: list[dict] | None, num: int, den: int, most_pairs: i
     work = np.cumsum(rows[0][i].astype(np.int64) * rows[1][j])
     found = []
     for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(work // most_pairs)) + 1):
-        found.append(_descend(a, b, i[part], j[part], own, num, den))
+        found.append(_descend(a, b, i[part], j[part], own, num, den, seen))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _descend(a: list[dict], b: list[dict], i: np.ndarray, j: np.ndarray, own: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _descend(a: list[dict], b: list[dict], i: np.ndarray, j: np.ndarray, own: bool, num: int, den: int, seen: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    def count(level: int, keep: np.ndarray, other: np.ndarray) -> None:
+        if seen is not None:
+            was = seen.get(level, (0, 0))
+            seen[level] = (was[0] + int(other.sum()), was[1] + int((other & ~keep).sum()))
+
     for level in range(len(a) - 1, 0, -1):
+        # a node and itself cannot be dropped
         keep = _keep(a[level], i, b[level], j, num, den)
+        count(level, keep, (i != j) if own else np.ones(len(i), bool))
+        if own:
+            keep |= i == j
         i, j = i[keep], j[keep]
         ci, of = _spread(a[level]["first"][i], a[level]["last"][i])
         j = j[of]
@@ -161,14 +181,22 @@ def _descend(a: list[dict], b: list[dict], i: np.ndarray, j: np.ndarray, own: bo
     if own:
         i, j = i[i < j], j[i < j]
     keep = _keep(a[0], i, b[0], j, num, den)
+    count(0, keep, np.ones(len(i), bool))
     return i[keep], j[keep]
 
 
-def _traverse(num: int, den: int, fan: int):
+def _traverse(num: int, den: int, fan: int, fold: int):
     def rows(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(["token", "size", "lead", "id"], kind="stable")
+        """(ids, tree) of one side: a row for each bucket that a row of the table is in."""
+        of, token = np.repeat(np.arange(len(pdf)), pdf["tokens"].map(len)), np.concatenate(pdf["tokens"].to_numpy())
+        lead = np.stack(pdf["lead"].to_numpy())
+        ids = pdf["id"].to_numpy()
+        # like rows are neighbours: by their first grams, then by size
+        size = pdf["size"].to_numpy().astype(np.int64)
+        order = np.lexsort((ids[of], size[of], *[lead[of, k] for k in range(lead.shape[1] - 1, -1, -1)], token))
+        of, token = of[order], token[order]
         bm = np.frombuffer(b"".join(pdf["bitmap"]), np.uint8).reshape(len(pdf), -1).view(np.uint64)
-        return pdf["id"].to_numpy(), _build(pdf["token"].to_numpy(), bm, pdf["size"].to_numpy().astype(np.int64), fan)
+        return ids[of], _build(token, bm[of], size[of], fan, fold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[pdf["side"] != 2], pdf[pdf["side"] == 2]
@@ -219,7 +247,8 @@ def near_duplicates(
     bits: int | None = None,
     shard_rows: int = 20_000,
     block: int = 2_000,
-    fan: int = 8,
+    fan: int = 2,
+    widen: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): links between class representatives, and the class of every row.
 
@@ -228,7 +257,8 @@ def near_duplicates(
     letters; null, empty and shorter texts are not compared and have no class. Rows with a null
     id are ignored, a repeated id counts once (its greatest text). Further columns are ignored;
     an empty df gives empty tables. threshold is the least shared / union as a fraction.
-    bits: length of the bitmaps; None: the power of two at or above 1.5 times the mean number of substrings.
+    bits: length of the rows' bitmaps; None: the power of two at or above 1.5 times the mean number
+    of substrings. Inner nodes have bitmaps of widen (a power of two) times that length.
     """
     num, den = threshold
     clean = (
@@ -243,7 +273,7 @@ def near_duplicates(
         bits = 1 << max(8, int(np.ceil(np.log2(1.5 * (facts["m"] or 1)))))
     shards = max(8, int(facts["n"] * sketch / shard_rows) + 1)
     every = materialize(
-        clean.mapInPandas(_sketches(n, sketch, bits), "id bigint, digest binary, size int, tokens array<bigint>, bitmap binary"), "sketches"
+        clean.mapInPandas(_sketches(n, sketch, bits * widen), "id bigint, digest binary, size int, tokens array<bigint>, bitmap binary"), "sketches"
     )
     classes = every.groupBy("digest").agg(F.min("id").alias("class_id"))
     left, right, by = salt_hot(every.select("id", "digest"), classes, ["digest"], "id")
@@ -252,29 +282,35 @@ def near_duplicates(
     sig = materialize(every.drop("digest").join(first, "id", "left_semi"), "signatures")
     # only grams of two or more rows make buckets; bitmaps travel once these are known
     postings = sig.select("id", F.explode("tokens").alias("token"))
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    kept = postings.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("token", "c")).alias("at"))
-    met = sig.join(kept, "id").select("id", "size", "bitmap", F.get("tokens", F.lit(0)).alias("lead"), F.explode("at").alias("x"))
-    met = met.select("id", "size", "lead", "bitmap", "x.token", "x.c")
-    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).cast("string")
-    plain = met.where(F.col("c") <= block).select(
-        shard.alias("shard"), "token", "id", "size", "lead", "bitmap", F.lit(1).alias("side"), F.lit(False).alias("two_sided")
+    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("home")).where("c > 1")
+    # buckets with the same smallest row share a task: it has at most ``sketch`` of them
+    shard = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int")
+    placed = postings.join(counts, "token").select("id", "token", "c", shard.alias("shard"))
+    kept = placed.groupBy("id").agg(F.collect_list(F.struct("token", "c", "shard")).alias("at"))
+    met = sig.join(kept, "id").select("id", "size", "bitmap", F.slice("tokens", 1, 4).alias("lead"), "at")
+    met = met.withColumn("lead", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.coalesce(F.get("lead", k), F.lit(0).cast("bigint"))))
+    small = F.filter("at", lambda x: x["c"] <= block)
+    plain = met.select("id", "size", "bitmap", "lead", small.alias("at")).select(
+        "id", "size", "bitmap", "lead", "at", F.explode(F.array_distinct(F.transform("at", lambda x: x["shard"]))).alias("s")
     )
+    mine_in = F.transform(F.filter("at", lambda x: x["shard"] == F.col("s")), lambda x: x["token"])
+    plain = plain.select(F.col("s").cast("string").alias("shard"), "id", "size", "lead", "bitmap", mine_in.alias("tokens"), F.lit(1).alias("side"), F.lit(False).alias("two_sided"))
     # a hot bucket: its blocks are paired, and each row goes to the pairs of its block
+    met = met.select("id", "size", "lead", "bitmap", F.explode(F.filter("at", lambda x: x["c"] > block)).alias("x")).select("id", "size", "lead", "bitmap", "x.token", "x.c")
     blocks = F.ceil(F.col("c") / F.lit(float(block))).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    hot = met.where(F.col("c") > block).withColumn("blocks", blocks).withColumn("mine", mine)
+    hot = met.withColumn("blocks", blocks).withColumn("mine", mine)
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     hot = hot.select(
         F.concat_ws("/", "token", F.least("mine", "other"), F.greatest("mine", "other")).alias("shard"),
-        "token", "id", "size", "lead", "bitmap",
+        "id", "size", "lead", "bitmap", F.array("token").alias("tokens"),
         F.when(F.col("mine") > F.col("other"), 2).otherwise(1).alias("side"),
         (F.col("mine") != F.col("other")).alias("two_sided"),
     )
     pairs = (
         plain.unionByName(hot)
         .groupBy("shard")
-        .applyInPandas(_traverse(num, den, fan), "id_1 bigint, id_2 bigint")
+        .applyInPandas(_traverse(num, den, fan, widen), "id_1 bigint, id_2 bigint")
         .distinct()
     )
     one = clean.select(F.col("id").alias("id_1"), F.col("text").alias("text_1"))

@@ -17,6 +17,22 @@ def p2_found(spark, sf_dir):
     return all_pairs(links, members).select(F.col("id_1").alias("aln_id_1"), F.col("id_2").alias("aln_id_2"))
 
 
+def _copies(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "aln"), "aln_id", "seq")
+
+
+def p2_links(spark, sf_dir):
+    """Links between the representatives of classes of equal rows, and their similarity."""
+    return _copies(spark, sf_dir)[0]
+
+
+def p2_members(spark, sf_dir):
+    """The class of every row and how many links its representative has."""
+    links, members = _copies(spark, sf_dir)
+    ends = links.select(F.explode(F.array("id_1", "id_2")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(ends, "class_id", "left").fillna(0, ["n_links"]).select("id", "class_id", "n_links")
+
+
 def p5_found(spark, sf_dir):
     found = mutation_frequencies(read(spark, sf_dir, "mutations")).where("mark is not null")
     return found.select("pos", "a", "d", "mark")
@@ -60,8 +76,11 @@ g as (
 """
 SQL = {
     "p5_found": _P5 + "select pos, a, d, mark from k where mark is not null",
+    "p5_terms": """with d as (select doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{M}\\p{N}]+)', 1)) as term from documents),
+g as (select term, count(*) as n_rows, count(distinct doc_id) as n_records, (select count(distinct doc_id) from documents) as t from d group by term)
+select term, n_rows, n_records, case when n_records < 3 then 'rare' when n_records > t * 0.1 then 'common' end as mark from g""",
     "p5_frequencies": _P5 + "select pos, a, d, n_rows, n_records, mark from k",
 }
 QUERIES = {
-    f.__name__: f for f in (p2_found, p5_found, p5_frequencies, p5_terms, p7_found, p7_proximity, p8_mix, p8_shares, p9_found)
+    f.__name__: f for f in (p2_found, p2_links, p2_members, p5_found, p5_frequencies, p5_terms, p7_found, p7_proximity, p8_mix, p8_shares, p9_found)
 }

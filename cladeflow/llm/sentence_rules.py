@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -28,6 +29,7 @@ _TAIL = re.compile(rf"(?:{_CLOSERS}|[   ][»])*(?:[  ]?[{_EMOJI}]+)*")
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*|\n(?=- )")
 _TOKEN = re.compile(r"[^\s()\[\]{}\"'«»„“”‘’¿¡「」『』,;:!?…。！？।，、：—–/]+\Z")
 _WORD = re.compile(r"[^\W_]+")
+_SHOWN = re.compile(r"\S")
 _INSIDE = re.compile(r"(?<=[^\W\d_A-Z][ ,])[^\W\d_a-z][^\W_]*|(?<=[^\W\d_A-Z], )[^\W\d_a-z][^\W_]*")
 _NEXT = re.compile(r"[\s\"'«»„“”‘’¿¡(]*([^\W\d_]+(?:[ऀ-ॣ०-ॿ]*))")
 
@@ -45,24 +47,49 @@ def script(c: str) -> str:
     return "other"
 
 
+def _ahead(text: str, i: int, e: int) -> int:
+    """The first place from i on that is no white space; e if there is none."""
+    m = _SHOWN.search(text, i, e)
+    return m.start() if m else e
+
+
+def _behind(text: str, i: int, s: int) -> int:
+    """The end, at or before i, of what stands there without white space after it; s if there is nothing."""
+    while i > s and text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+#: A token of more dotted parts is glued words or a list, no abbreviation.
+MOST_PARTS = 8
+
+
+def _token(text: str, at: int, start: int) -> str:
+    """The run of characters before a place, however long; no more of it than a few parts beyond MOST_PARTS."""
+    width = 64
+    while True:
+        low = max(start, at - width)
+        m = _TOKEN.search(text, low, at)
+        if not m:
+            return ""
+        if m.start() > low or low == start or m[0].count(".") > MOST_PARTS:
+            return m[0]
+        width *= 4
+
+
 def token_before(text: str, at: int, start: int) -> str:
     """The lower-case run of characters before a dot; only its last part where dots glue long words."""
-    m = _TOKEN.search(text[max(start, at - 40) : at])
-    if not m:
-        return ""
-    t = m[0].lower().lstrip("-*•")
+    t = _token(text, at, start).lower().lstrip("-*•")
     if "." in t:
         parts = t.split(".")
-        if any(len(p) > 3 for p in parts):
+        if len(parts) > MOST_PARTS or any(len(p) > 3 for p in parts):
             t = parts[-1]
     return t
 
 
 def last_word(text: str, at: int, start: int) -> str:
     """The last word before an ellipsis, over blanks."""
-    before = text[max(start, at - 40) : at].rstrip()
-    m = _TOKEN.search(before)
-    return m[0].lower() if m else ""
+    return _token(text, _behind(text, at, start), start).lower()
 
 
 def next_word(text: str, at: int, end: int) -> str:
@@ -96,17 +123,19 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 
 def spans(text: str, s: int, e: int) -> list[tuple[int, int]]:
     """Pairs of quote marks and of round brackets within a block, outermost first found."""
-    out, stack = [], []
-    for i in range(s, e):
-        c = text[i]
+    out, stack, straight = [], [], 0
+    for m in _MARK.finditer(text, s, e):
+        i, c = m.start(), m[0]
         if c == '"':
-            if any(x[1] == '"' for x in stack):
-                while stack and stack[-1][1] != '"':
+            if straight:
+                while stack[-1][1] != '"':
                     stack.pop()
                 out.append((stack.pop()[0], i))
+                straight = 0
             else:
                 stack.append((i, '"'))
-        elif stack and c in stack[-1][1] and c != '"':
+                straight = 1
+        elif stack and c in stack[-1][1]:
             out.append((stack.pop()[0], i))
         elif c in PAIRS:
             stack.append((i, PAIRS[c]))
@@ -115,10 +144,13 @@ def spans(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
+_MARK = re.compile('["()（）' + "".join(PAIRS) + "".join(PAIRS.values()) + "]")
+
+
 def _opened_inside(text: str, o: int, s: int) -> bool:
     """Whether a sentence is under way where a quote opens."""
-    before = text[s:o].rstrip()
-    return bool(before) and before[-1] not in STRONG + DOTS + CLOSE + '"' and not re.match(f"[{_EMOJI}]", before[-1])
+    i = _behind(text, o, s)
+    return i > s and text[i - 1] not in STRONG + DOTS + CLOSE + '"' and not re.match(f"[{_EMOJI}]", text[i - 1])
 
 
 class Evidence:
@@ -159,8 +191,8 @@ class Evidence:
                 emoji = tail > end and re.match(f"[{_EMOJI}]", text[tail - 1]) is not None
                 closed = tail > end and not emoji
                 blank = nxt.isspace() or not nxt
-                rest = text[tail:e].lstrip()
-                follows = rest[:1]
+                shown = _ahead(text, tail, e)
+                follows = text[shown : min(shown + 1, e)]
                 if closed and text[end : end + 1] not in ")]）":
                     if w:
                         kind = "c" if follows.islower() and cased else "u"
@@ -187,7 +219,7 @@ class Evidence:
                     self.add("f", t, w.lower(), "k")
                     if ended or emoji:
                         self.add("d", t, "", "e")
-                    elif blank and "\n" not in text[tail : e - len(rest)]:
+                    elif blank and "\n" not in text[tail:shown]:
                         if follows.isdigit() or follows in ",;:)":
                             self.add("d", t, "", "c")
                             if not follows.isdigit():
@@ -322,34 +354,34 @@ def _abbreviation(t: str, said: dict) -> str:
 
 def _goes_on(text: str, o: int, k: int, s: int, e: int, cased: bool, said: dict) -> bool:
     """Whether the surrounding sentence continues after the quote or bracket from o to k."""
-    inner = text[o + 1 : k].rstrip()
-    rest = text[k + 1 : e].lstrip()
+    end, at = _behind(text, k, o + 1), _ahead(text, k + 1, e)
     bracket = text[k] in ")）"
-    if not inner or not rest:
+    if end == o + 1 or at == e:
         return False
-    if rest[0] in ",;:)，、；：）":
+    last, first = text[end - 1], text[at]
+    if first in ",;:)，、；：）":
         return True
-    if inner[-1] not in STRONG + DOTS:
+    if last not in STRONG + DOTS:
         return True
-    if re.match(f"[{_EMOJI}]", rest[0]):
+    if re.match(f"[{_EMOJI}]", first):
         return False
-    if rest[0] in STRONG + DOTS:
+    if first in STRONG + DOTS:
         return True
-    kind = script(rest[0])
+    kind = script(first)
     inside = _opened_inside(text, o, s)
     if kind == "cjk":
-        return inside or rest[0] == "と"
+        return inside or first == "と"
     if kind == "thai":
-        return inside and text[k + 1 : k + 2] == rest[0]
+        return inside and text[k + 1 : k + 2] == first
     if bracket:
-        return inside and not (cased and rest[0].isupper())
+        return inside and not (cased and first.isupper())
     w = next_word(text, k + 1, e)
     got = said.get(("q", w.lower(), ""), "")
     if kind == "hindi":
         return got == "C"
     if kind == "latin":
         if cased:
-            return rest[0].islower()
+            return first.islower()
         return got == "C"
     return False
 
@@ -357,17 +389,21 @@ def _goes_on(text: str, o: int, k: int, s: int, e: int, cased: bool, said: dict)
 def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
     """Ends of sentences within a block."""
     names = Names(text, said)
-    held = [(o, k) for o, k in spans(text, s, e) if _goes_on(text, o, k, s, e, cased, said)]
-    out = []
+    held = sorted((o, k) for o, k in spans(text, s, e) if _goes_on(text, o, k, s, e, cased, said))
+    quotes = {c: [m.start() for m in re.finditer(c, text[s:e])] for c in '"“„' if text.find(c, s, e) >= 0}
+    out, entered, until = [], 0, -1
     for m in _RUN.finditer(text, s, e):
         run, at, end = m[0], m.start(), m.end()
-        if any(o < at < k for o, k in held):
+        while entered < len(held) and held[entered][0] < at:
+            until = max(until, held[entered][1])
+            entered += 1
+        if at < until:
             continue
         tail = _TAIL.match(text, end, e).end()
-        tail = _closed(text, s, end, tail)
+        tail = _closed(text, s, end, tail, quotes)
         emoji = tail > end and re.match(f"[{_EMOJI}]", text[tail - 1]) is not None
-        nxt, rest = text[tail : tail + 1], text[tail:e].lstrip()
-        follows = rest[:1]
+        shown = _ahead(text, tail, e)
+        nxt, follows = text[tail : tail + 1], text[shown : min(shown + 1, e)]
         if not follows:
             continue
         before = text[at - 1 : at] if at > s else ""
@@ -377,7 +413,7 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
             out.append(tail)
             continue
         if emoji:
-            if run == "." or script((text[s:at].rstrip() or " ")[-1]) != "cjk":
+            if run == "." or script(_last_shown(text, at, s)) != "cjk":
                 out.append(tail)
             continue
         if follows in ",;:)，、；：）":
@@ -422,8 +458,7 @@ def boundaries(text: str, s: int, e: int, cased: bool, said: dict) -> list[int]:
             out.append(tail)
             continue
         # an ellipsis
-        prev = (text[s:at].rstrip() or " ")[-1]
-        if script(prev) == "cjk":
+        if script(_last_shown(text, at, s)) == "cjk":
             continue
         t = last_word(text, at, s)
         got = said.get(("e", t, ""), "")
@@ -439,12 +474,18 @@ def _capitals(rest: str) -> bool:
     return bool(m) and len(m[0]) > 1 and m[0].isupper()
 
 
-def _closed(text: str, s: int, end: int, tail: int) -> int:
-    """The tail without quote marks that open the next sentence."""
+def _last_shown(text: str, at: int, s: int) -> str:
+    i = _behind(text, at, s)
+    return text[i - 1] if i > s else " "
+
+
+def _closed(text: str, s: int, end: int, tail: int, quotes: dict[str, list[int]]) -> int:
+    """The tail without quote marks that open the next sentence; quotes: their places from s on."""
+    before = lambda c, i: bisect.bisect_left(quotes.get(c, ()), i - s)
     for i in range(end, tail):
-        if text[i] == '"' and text.count('"', s, i) % 2 == 0:
+        if text[i] == '"' and before('"', i) % 2 == 0:
             return i
-        if text[i] == "“" and text.count("„", s, i) <= text.count("“", s, i):
+        if text[i] == "“" and before("„", i) <= before("“", i):
             return i
     return tail
 
