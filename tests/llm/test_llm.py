@@ -105,6 +105,7 @@ def test_dual_traversal_loses_nothing():
         for x in s:
             wide[k, (x % 4096) // 64] |= np.uint64(1) << np.uint64(x % 64)
     tree = _build(np.zeros(64, np.int64), wide, np.array([len(s) for s in like], np.int64), 2, 4)
+    seen = {}
     i, j = _dual(tree, None, 1, 2, seen=seen)
     assert {(a, b) for a, b in itertools.combinations(range(64), 2) if 2 * len(like[a] & like[b]) >= len(like[a] | like[b])} <= set(zip(i.tolist(), j.tolist()))
     upper = [seen[level] for level in range(1, len(tree)) if level in seen]
