@@ -50,13 +50,3 @@ def date_bounds(text: Column) -> tuple[Column, Column]:
 def date_of_distance(distance: Column, slope: Column, intercept: Column) -> Column:
     """Decimal year at which a clock expects a root-to-tip distance."""
     return (distance - intercept) / slope
-
-
-def clock_deviation(date: Column, distance: Column, slope: Column, intercept: Column) -> Column:
-    """Distance beyond what a clock expects at a date."""
-    return distance - (slope * date + intercept)
-
-
-def years_before(date: Column, now: Column) -> Column:
-    """Time before a given present."""
-    return now - date

@@ -149,18 +149,18 @@ def distances(letters_wide: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("tree_id", "taxon_1", "taxon_2", "h.differ", "h.compared", S.jukes_cantor(d).alias("distance"))
 
 
-def sparse_positions(variants: DataFrame, n_taxa: int, ambiguous: str = "N") -> DataFrame:
-    """Kind of each position of sparse sequences (taxon, pos, state): pos, kind, states, n.
+def sparse_positions(variants: DataFrame, n_taxa: DataFrame, by: list[str], ambiguous: str = "N") -> DataFrame:
+    """Kind of each position of sparse sequences (*by, taxon, pos, state): *by, pos, kind, states, n.
 
     variable: two or more states occur, the reference counting where some taxon has it;
     constant: all taxa have the same other state; ambiguous: beside one state there are only
-    ambiguous letters.
+    ambiguous letters. n_taxa: *by, n_taxa.
     """
-    p = variants.groupBy("pos").agg(F.array_sort(F.collect_set("state")).alias("states"), F.count(F.lit(1)).alias("n"))
+    p = variants.groupBy(*by, "pos").agg(F.array_sort(F.collect_set("state")).alias("states"), F.count(F.lit(1)).alias("n")).join(n_taxa, by)
     sure = F.filter("states", lambda s: s != ambiguous)
-    seen = F.size(sure) + F.when(F.col("n") < n_taxa, 1).otherwise(0)
+    seen = F.size(sure) + F.when(F.col("n") < F.col("n_taxa"), 1).otherwise(0)
     kind = F.when(seen > 1, "variable").when(F.size(sure) < F.size("states"), "ambiguous").otherwise("constant")
-    return p.select("pos", kind.alias("kind"), "states", "n")
+    return p.select(*by, "pos", kind.alias("kind"), "states", "n")
 
 
 def expand_patterns(sequences: DataFrame, patterns: DataFrame) -> DataFrame:

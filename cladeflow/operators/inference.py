@@ -21,7 +21,7 @@ from cladeflow.kernels import ancestral as A
 from cladeflow.kernels import clock as C
 from cladeflow.kernels import pipeline as PL
 from cladeflow.kernels.coalescent import Coalescent
-from cladeflow.kernels.models import Model, infer, named
+from cladeflow.kernels.models import Model, SiteModel, infer, named
 from cladeflow.kernels.timetree import TimeTree, grid_points
 from cladeflow.kernels.tree import Tree
 from cladeflow.operators.alignment import usual_lengths
@@ -209,6 +209,37 @@ def infer_models(nodes: DataFrame, aln: DataFrame, rounds: int = 5, pc: float =
     return models
 
 
+def infer_site_models(nodes: DataFrame, aln: DataFrame, pc: float = 1.0, model: Model | None = None, block: int = 200) -> DataFrame:
+    """Rate and frequencies of every site, with exchange rates shared by a tree's sites: tree_id, pos, mu, pi, w.
+
+    Expected substitutions and times per site come from blocks under the model (JC69); they are
+    q * q + 2 q numbers a site, and a tree's fit takes those of all its sites.
+    """
+    m = model or named("jc69", letters="nuc_nogap")
+    q = len(m.letters)
+
+    def stats(p: pd.DataFrame) -> pd.DataFrame:
+        seq, out, start = dict(zip(p["node_id"], p["block_seq"])), [], int(p["start"].max())
+        for t in _trees(p):
+            tips = _tips_of(t, seq, m)
+            if len(tips) >= 3:
+                n, time, root = A.site_statistics(t, m, tips, 1 / float(p["total"].max()))
+                v = np.vstack([n.reshape(q * q, -1), time, root]).T
+                out += [(p["tree_id"].iloc[0], start + k, x.tolist()) for k, x in enumerate(v)]
+        return pd.DataFrame(out, columns=["tree_id", "pos", "v"])
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pos")
+        v = np.stack(p["v"].to_numpy())
+        site = SiteModel.infer(v[:, : q * q].T.reshape(q, q, -1), v[:, q * q : q * q + q].T, v[:, q * q + q :].T, m.letters, pc)
+        w = site.sites[0].w.ravel().tolist()
+        return pd.DataFrame({"tree_id": p["tree_id"], "pos": p["pos"], "mu": [s.mu for s in site.sites], "pi": [s.pi.tolist() for s in site.sites], "w": [w] * len(p)})
+
+    per = site_blocks(nodes, aln, block).groupBy("tree_id", "start").applyInPandas(stats, "tree_id string, pos int, v array<double>")
+    per = _summed(per, ["tree_id", "pos"], q * q + 2 * q)
+    return per.groupBy("tree_id").applyInPandas(fit, "tree_id string, pos int, mu double, pi array<double>, w array<double>")
+
+
 def _dated(p: pd.DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = dict(zip(p["node_id"], p["lo"])), dict(zip(p["node_id"], p["hi"]))
     return np.array([lo.get(i, np.nan) for i in tree.ids], float), np.array([hi.get(i, np.nan) for i in tree.ids], float)
@@ -369,7 +400,7 @@ def time_trees(
     return d.groupBy("tree_id").applyInPandas(_time(o, model), _TIME)
 
 
-_COAL = "tree_id string, root_id int, n_nodes int, tc double, log_lh double, sky_t array<double>, sky_tc array<double>, sky_lower array<double>, sky_upper array<double>"
+_COAL = "tree_id string, root_id int, n_nodes int, tc double, log_lh double, sky_t array<double>, sky_tc array<double>, sky_lower array<double>, sky_upper array<double>, seen_t array<double>, seen_tc array<double>"
 
 
 def _coalescent(points: int, n_std: float):
@@ -385,14 +416,14 @@ def _coalescent(points: int, n_std: float):
             if points and len(tree) >= 10 and tc > 0:
                 x, y, sd = co.skyline(points)
                 lo, hi = y * np.exp(-n_std * sd), y * np.exp(n_std * sd)
-            out.append((p["tree_id"].iloc[0], tree.ids[0], len(tree), tc, co.log_lh(max(tc, 1e-12)), x.tolist(), y.tolist(), lo.tolist(), hi.tolist()))
+            out.append((p["tree_id"].iloc[0], tree.ids[0], len(tree), tc, co.log_lh(max(tc, 1e-12)), x.tolist(), y.tolist(), lo.tolist(), hi.tolist(), *(z.tolist() for z in co.empirical_skyline())))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _COAL.split(", ")])
 
     return run
 
 
 def coalescent_fits(nodes: DataFrame, points: int = 0, n_std: float = 2.0) -> DataFrame:
-    """Constant Tc of greatest likelihood, its log likelihood and, with points > 0, a skyline with its bounds; time in branch lengths."""
+    """Constant Tc of greatest likelihood, its log likelihood and, with points > 0, a skyline with its bounds; seen_t, seen_tc: observed against expected mergers in a sliding window. Time in branch lengths."""
     return nodes.select(*NODE_COLUMNS).groupBy("tree_id").applyInPandas(_coalescent(points, n_std), _COAL)
 
 

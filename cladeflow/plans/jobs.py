@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions import sequences as S
+from cladeflow.functions.dates import date_of_distance
 from cladeflow.kernels.coalescent import effective_size
 from cladeflow.kernels.models import Model, from_exchangeabilities, named
 from cladeflow.operators import alignment as AL
@@ -176,7 +177,7 @@ def run_clock(spark: SparkSession, a) -> None:
     sinks.write_table(model, _out(a, "molecular_clock"))
     rtt = t.where("date is not null").select("name", "date", F.col("dist2root").alias("root-to-tip distance"), F.col("residual").alias("clock-deviation"), F.col("is_outlier").alias("outlier"))
     sinks.write_table(rtt, _out(a, "rtt"), ",")
-    sinks.write_table(t.where("is_outlier").select("name", F.col("date").alias("given_date"), ((F.col("dist2root") - F.col("intercept")) / F.col("slope")).alias("apparent_date"), "residual"), _out(a, "outliers"))
+    sinks.write_table(t.where("is_outlier").select("name", F.col("date").alias("given_date"), date_of_distance(F.col("dist2root"), F.col("slope"), F.col("intercept")).alias("apparent_date"), "residual"), _out(a, "outliers"))
     sinks.tree_texts(_as_nodes(t)).select("text").write.mode("overwrite").text(_out(a, "rerooted"))
 
 

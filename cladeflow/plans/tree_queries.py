@@ -251,6 +251,18 @@ def aln_full_length(spark, d):
     return p.where("not variable").select("tree_id", "n_sites", F.md5("pattern").alias("pattern"), F.round("multiplicity", 6).alias("multiplicity"))
 
 
+def aln_position_kinds(spark, d):
+    """What the differences to the most frequent letters make of each column."""
+    letters = materialize(AL.site_letters(_aln(spark, d)), "letters")
+    diff = AL.differences(letters, AL.majority_reference(letters).drop("n")).join(_aln(spark, d).select("tree_id", "taxon", F.length("seq").alias("n_sites")), ["tree_id", "taxon"])
+    taxa = _aln(spark, d).groupBy("tree_id", F.length("seq").alias("n_sites")).agg(F.count(F.lit(1)).alias("n_taxa"))
+    return AL.sparse_positions(diff, taxa, ["tree_id", "n_sites"]).select("tree_id", "n_sites", "pos", "kind", F.array_join("states", "").alias("states"), "n")
+
+
+def site_models(spark, d):
+    return I.infer_site_models(_nodes(spark, d), _columns(spark, d)[0])
+
+
 def tips_undated(spark, d):
     """Tips without a date: their name has no metadata, or no value there denotes a moment."""
     n = _nodes(spark, d)
@@ -318,6 +330,12 @@ def timetree_marginal(spark, d):
     return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], marginal=True, vary_rate=True)
 
 
+def timetree_adaptive(spark, d):
+    """Marginal dates with a grid for each branch."""
+    n = _nodes(spark, d)
+    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], marginal=True, adaptive=True)
+
+
 def timetree_full(spark, d):
     """All of it: inferred models, sequences, best roots, outliers, polytomies, relaxed rates, a coalescent, confidence."""
     n = _nodes(spark, d)
@@ -555,6 +573,17 @@ SQL = {
         select tree_id, n_sites, pos, count(*) as taxa, count(distinct state) filter (where state <> 'N') as ns, min(state) filter (where state <> 'N') as one from let group by 1, 2, 3),
         k as (select tree_id, n_sites, repeat(coalesce(one, 'N'), taxa::int) as pattern, coalesce(one, 'N') in ('A', 'C', 'G', 'T') as real, count(*) as m from col where ns < 2 group by all)
         select tree_id, n_sites, md5(pattern) as pattern, round(m + greatest(600 - n_sites, 0) * coalesce(case when real then m end / sum(case when real then m end) over (partition by tree_id, n_sites), 0), 6) as multiplicity from k""",
+    "aln_position_kinds": _SITES + """, ref as (select tree_id, n_sites, pos, state as ref from (select tree_id, n_sites, pos, state, row_number() over (partition by tree_id, n_sites, pos order by count(*) desc, state) as rn from let group by 1, 2, 3, 4) where rn = 1),
+        taxa as (select tree_id, length(seq) as n_sites, count(*) as n_taxa from al group by 1, 2),
+        g as (select tree_id, n_sites, pos, string_agg(distinct state, '' order by state) as states, count(distinct state) filter (where state <> 'N') as sure, count(distinct state) as every, count(*) as n from let join ref using (tree_id, n_sites, pos) where state <> ref group by 1, 2, 3)
+        select tree_id, n_sites, pos, case when sure + (n < n_taxa)::int > 1 then 'variable' when sure < every then 'ambiguous' else 'constant' end as kind, states, n from g join taxa using (tree_id, n_sites)""",
+    "tree_nested_json": _WALK + _ORDER + """, n as (select p.*, w.dist2root, exists (select 1 from up c where c.tree_id = p.tree_id and c.par = p.node_id) as inner_ from pre p join walk w using (tree_id, node_id)),
+        tok as (
+          select tree_id, root_id, key, (case when len(key) > 1 and key[len(key)] > 1 then ', ' else '' end) || '{"name": ' || coalesce(to_json(name)::varchar, 'null') || ', "node_attrs": {"div": ' || (round(dist2root, 9) + 0.0)::varchar || '}' || (case when inner_ then ', "children": [' else '' end) as s from n
+          union all
+          select tree_id, root_id, list_append(key, 2147483647), (case when inner_ then ']}' else '}' end) from n
+        )
+        select tree_id, '{"version": "v2", "meta": {}, "tree": ' || string_agg(s, '' order by key) || '}' as text from tok group by tree_id, root_id""",
     "tips_undated": "with" + _CUR + _DATES + """ select c.tree_id, c.node_id, case when exists (select 1 from metadata m where m.tree_id = c.tree_id and lower(trim(m.name, ' \'\'"')) = lower(trim(c.name, ' \'\'"'))) then 'no date' else 'no metadata' end as reason
         from cur c where c.is_tip and not exists (select 1 from tipdates t where t.tree_id = c.tree_id and t.node_id = c.node_id)""",
     "clock_best_root": _ROOTS + _least_sql("q0 - u0 * u0 / tt", "q1 - 2 * u0 * u1 / tt", "q2 - u1 * u1 / tt", "case when u1 > 0 then greatest(0, -u0 / u1) else 0 end", "case when u1 < 0 then least(len, -u0 / u1) else len end", "(u1 <> 0 or u0 >= 0)")
@@ -587,9 +616,9 @@ QUERIES = {
         clock_root_to_tip, clock_regression, clock_outliers, numeric_dates, aln_clean, aln_composition, aln_alphabet, aln_patterns,
         aln_differences, aln_distances, aln_unmatched_tips, aln_common_taxa, homoplasy_mutations, homoplasy_sites, homoplasy_top,
         homoplasy_histogram, homoplasy_poisson, homoplasy_strains, rate_statistics, gtr_inferred, path_statistics, equal_rates_transitions,
-        lineages_through_time, merger_rate_integral, trait_states, aln_columns, aln_lengths, aln_full_length, tips_undated,
+        lineages_through_time, merger_rate_integral, trait_states, aln_columns, aln_lengths, aln_full_length, aln_position_kinds, site_models, tips_undated,
         ancestral_marginal, ancestral_joint, ancestral_fitch, ancestral_inferred, models_inferred, clock_best_root, clock_min_deviation_root,
-        clock_covariation_root, clock_oldest_root, clock_local_outliers, timetree_joint, timetree_marginal, timetree_full, timetree_skyline, coalescent_tc, traits_inferred,
+        clock_covariation_root, clock_oldest_root, clock_local_outliers, timetree_joint, timetree_marginal, timetree_adaptive, timetree_full, timetree_skyline, coalescent_tc, traits_inferred,
         branch_state_pairs, branch_lengths, optimised_trees, simulated_alignments, rate_susceptibility, tree_layout, coalescent_skyline,
         reassortment_clades, tree_newick, tree_nested_json,
     )

@@ -95,7 +95,7 @@ def tree_texts(nodes: DataFrame, kind: str = "newick", attributes: list[str] = (
         extra = {c: dict(zip(p["node_id"], p[c])) for c in attributes}
         for t in _trees(p):
             if kind == "json":
-                out.append((p["tree_id"].iloc[0], json.dumps({"version": "v2", "meta": {}, "tree": _nested(t, extra)}, default=str)))
+                out.append((p["tree_id"].iloc[0], json.dumps({"version": "v2", "meta": {}, "tree": _nested(t, extra)}, default=str, ensure_ascii=False)))
                 continue
             if kind == "nexus":
                 plain = list(t.name)
