@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import sequences as S
 from cladeflow.kernels.pairwise import into_columns
-from cladeflow.runtime import dimension_join, materialize
+from cladeflow.runtime import dimension_join, materialize, spread
 
 
 def clean_alignment(aln: DataFrame, overhangs: bool = True) -> DataFrame:
@@ -40,9 +40,9 @@ def site_letters(aln: DataFrame) -> DataFrame:
 
 
 def usual_lengths(aln: DataFrame) -> DataFrame:
-    """tree_id, total: the most common length of a tree's sequences, the greatest of equals."""
+    """tree_id, total, n_other: the most common length of a tree's sequences, the greatest of equals, and how many have another."""
     n = aln.groupBy("tree_id", F.length("seq").alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
-    return n.groupBy("tree_id").agg(F.max(F.struct("_n", "_len")).alias("x")).select("tree_id", F.col("x._len").alias("total"))
+    return n.groupBy("tree_id").agg(F.max(F.struct("_n", "_len")).alias("x"), F.sum("_n").alias("_all")).select("tree_id", F.col("x._len").alias("total"), (F.col("_all") - F.col("x._n")).alias("n_other"))
 
 
 def _into(least: float):
@@ -81,7 +81,10 @@ def tree_columns(aln: DataFrame, least: float = 0.5) -> DataFrame:
     best = n.groupBy("tree_id", "pos").agg(F.min(F.struct(F.col("state").isin("N", "-").alias("u"), (-F.col("n")).alias("m"), "state")).alias("x"))
     ref = best.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.state"))), lambda x: x["state"]), "").alias("ref"))
     ref = materialize(ref, "references")
-    other = dimension_join(sized.where(F.length("seq") != F.col("total")).drop("total"), ref, ["tree_id"], "taxon", "inner")
+    # many of one tree are aligned at once, but no more than some hundreds in one task
+    part = F.pmod(F.xxhash64("taxon"), F.ceil(F.col("n_other") / 300)).alias("part")
+    other = sized.where(F.length("seq") != F.col("total")).select("tree_id", "taxon", "seq", part)
+    other = spread(dimension_join(other, ref, ["tree_id"], "taxon", "inner"), "tree_id", "part").sortWithinPartitions("tree_id", "part")
     put = other.mapInPandas(_into(least), "tree_id string, taxon string, seq string, status string, n_inserted int, identity double")
     same = fit.select("tree_id", "taxon", "seq", F.lit("as is").alias("status"), F.lit(0).alias("n_inserted"), F.lit(None).cast("double").alias("identity"))
     return materialize(same.unionByName(put), "columns")

@@ -25,7 +25,7 @@ from cladeflow.kernels.models import Model, SiteModel, infer, named
 from cladeflow.kernels.timetree import TimeTree, grid_points
 from cladeflow.kernels.tree import Tree
 from cladeflow.operators.alignment import usual_lengths
-from cladeflow.runtime import dimension_join, materialize, release
+from cladeflow.runtime import dimension_join, materialize, release, spread
 
 NODE_COLUMNS = ["tree_id", "node_id", "parent_id", "child_ix", "name", "branch_length"]
 
@@ -72,7 +72,7 @@ def _name(tree: Tree, i: int) -> str:
 def _states(method: str, make: Model | None, sample: int | None):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         model = _model_of(p, make)
-        letters = np.array(model.letters)
+        letters = np.frombuffer("".join(model.letters).encode("ascii"), np.uint8)
         out = []
         seq = dict(zip(p["node_id"], p["block_seq"]))
         start, total = int(p["start"].max()), int(p["total"].max())
@@ -91,7 +91,7 @@ def _states(method: str, make: Model | None, sample: int | None):
                 lh, post = A.marginal(tree, model, tips, om)
                 st = post.argmax(axis=2) if sample is None else A.sampled(post, np.random.default_rng([sample, start, zlib.crc32(f"{p['tree_id'].iloc[0]}/{tree.ids[0]}".encode())]))
             for i in range(len(tree)):
-                out.append((p["tree_id"].iloc[0], tree.ids[i], tree.ids[0], start, "".join(letters[st[i]]), float(lh.sum()) if i == 0 else None))
+                out.append((p["tree_id"].iloc[0], tree.ids[i], tree.ids[0], start, letters[st[i]].tobytes().decode("ascii"), float(lh.sum()) if i == 0 else None))
         return pd.DataFrame(out, columns=["tree_id", "node_id", "root_id", "start", "states", "log_lh"])
 
     return run
@@ -128,7 +128,7 @@ def ancestral_states(
     than three sequences are left out.
     """
     schema = "tree_id string, node_id int, root_id int, start int, states string, log_lh double"
-    return _with_models(site_blocks(nodes, aln, block), models).groupBy("tree_id", "start").applyInPandas(_states(method, model, sample), schema)
+    return spread(_with_models(site_blocks(nodes, aln, block), models), "tree_id", "start").groupBy("tree_id", "start").applyInPandas(_states(method, model, sample), schema)
 
 
 def _summed(blocks: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -158,7 +158,7 @@ def expected_branch_pairs(nodes: DataFrame, aln: DataFrame, model: Model | None
             out += [(p["tree_id"].iloc[0], t.ids[0], t.ids[i], np.r_[pairs[i], lh if i == 0 else 0.0].tolist()) for i in range(len(t))]
         return pd.DataFrame(out, columns=["tree_id", "root_id", "node_id", "v"])
 
-    per = _with_models(site_blocks(nodes, aln, block), models).groupBy("tree_id", "start").applyInPandas(run, "tree_id string, root_id int, node_id int, v array<double>")
+    per = spread(_with_models(site_blocks(nodes, aln, block), models), "tree_id", "start").groupBy("tree_id", "start").applyInPandas(run, "tree_id string, root_id int, node_id int, v array<double>")
     return _summed(per, ["tree_id", "root_id", "node_id"], q * q + 1).select("tree_id", "root_id", "node_id", F.slice("v", 1, q * q).alias("v"), F.get("v", F.lit(q * q)).alias("log_lh"))
 
 
@@ -235,9 +235,9 @@ def infer_site_models(nodes: DataFrame, aln: DataFrame, pc: float = 1.0, model:
         w = site.sites[0].w.ravel().tolist()
         return pd.DataFrame({"tree_id": p["tree_id"], "pos": p["pos"], "mu": [s.mu for s in site.sites], "pi": [s.pi.tolist() for s in site.sites], "w": [w] * len(p)})
 
-    per = site_blocks(nodes, aln, block).groupBy("tree_id", "start").applyInPandas(stats, "tree_id string, pos int, v array<double>")
+    per = spread(site_blocks(nodes, aln, block), "tree_id", "start").groupBy("tree_id", "start").applyInPandas(stats, "tree_id string, pos int, v array<double>")
     per = _summed(per, ["tree_id", "pos"], q * q + 2 * q)
-    return per.groupBy("tree_id").applyInPandas(fit, "tree_id string, pos int, mu double, pi array<double>, w array<double>")
+    return spread(per, "tree_id").groupBy("tree_id").applyInPandas(fit, "tree_id string, pos int, mu double, pi array<double>, w array<double>")
 
 
 def _dated(p: pd.DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def best_roots(nodes: DataFrame, dates: DataFrame, sites: int | DataFrame = 1000
     or nodes, whose common ancestor becomes the root. nodes with lo and hi from dates (tree_id,
     node_id). One task per tree; root_regressions does the plain regression without that.
     """
-    return _with_dates(nodes, dates, sites).groupBy("tree_id").applyInPandas(_best_root(covariation, mode, slope), _CLOCK)
+    return spread(_with_dates(nodes, dates, sites), "tree_id").groupBy("tree_id").applyInPandas(_best_root(covariation, mode, slope), _CLOCK)
 
 
 _LOCAL = "tree_id string, node_id int, name string, given_date double, apparent_date double, z double, diagnosis string"
@@ -308,7 +308,7 @@ def _local(z_most: float):
 
 def local_outliers(nodes: DataFrame, dates: DataFrame, sites: int | DataFrame = 1000, z_most: float = 3.0) -> DataFrame:
     """Tips whose dates do not fit a local clock on the tree at its best root, with a diagnosis."""
-    return _with_dates(nodes, dates, sites).groupBy("tree_id").applyInPandas(_local(z_most), _LOCAL)
+    return spread(_with_dates(nodes, dates, sites), "tree_id").groupBy("tree_id").applyInPandas(_local(z_most), _LOCAL)
 
 
 _ROOTED = (
@@ -343,7 +343,7 @@ def clock_trees(nodes: DataFrame, dates: DataFrame, sites: int | DataFrame = 100
 
     options as in kernels.pipeline.Options: reroot, clock_filter, filter_method, covariation, rate.
     """
-    return _with_dates(nodes, dates, sites).groupBy("tree_id").applyInPandas(_rooted(PL.Options(**options)), _ROOTED)
+    return spread(_with_dates(nodes, dates, sites), "tree_id").groupBy("tree_id").applyInPandas(_rooted(PL.Options(**options)), _ROOTED)
 
 
 _TIME = (
@@ -397,7 +397,7 @@ def time_trees(
     d = _with_models(_with_dates(nodes, dates, sites), models)
     if pairs is not None:
         d = d.join(pairs.select("tree_id", "node_id", "v"), ["tree_id", "node_id"], "left")
-    return d.groupBy("tree_id").applyInPandas(_time(o, model), _TIME)
+    return spread(d, "tree_id").groupBy("tree_id").applyInPandas(_time(o, model), _TIME)
 
 
 _COAL = "tree_id string, root_id int, n_nodes int, tc double, log_lh double, sky_t array<double>, sky_tc array<double>, sky_lower array<double>, sky_upper array<double>, seen_t array<double>, seen_tc array<double>"
@@ -424,7 +424,7 @@ def _coalescent(points: int, n_std: float):
 
 def coalescent_fits(nodes: DataFrame, points: int = 0, n_std: float = 2.0) -> DataFrame:
     """Constant Tc of greatest likelihood, its log likelihood and, with points > 0, a skyline with its bounds; seen_t, seen_tc: observed against expected mergers in a sliding window. Time in branch lengths."""
-    return nodes.select(*NODE_COLUMNS).groupBy("tree_id").applyInPandas(_coalescent(points, n_std), _COAL)
+    return spread(nodes.select(*NODE_COLUMNS), "tree_id").groupBy("tree_id").applyInPandas(_coalescent(points, n_std), _COAL)
 
 
 _TRAIT = "tree_id string, root_id int, node_id int, state string, probability double, rate double, profile map<string,double>, model string"
@@ -467,7 +467,7 @@ def discrete_traits(nodes: DataFrame, traits: DataFrame, pc: float = 1.0, rounds
     has the probabilities of all states; model, at the root, the model as text.
     """
     d = nodes.select(*NODE_COLUMNS).join(traits.select("tree_id", "node_id", "trait"), ["tree_id", "node_id"], "left")
-    return d.groupBy("tree_id").applyInPandas(_traits(pc, rounds, bias, weights), _TRAIT)
+    return spread(d, "tree_id").groupBy("tree_id").applyInPandas(_traits(pc, rounds, bias, weights), _TRAIT)
 
 
 def branch_state_pairs(states: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -523,7 +523,7 @@ def simulate_alignments(nodes: DataFrame, length: int, model: Model | None = Non
                 out.append((p["tree_id"].iloc[0], t.ids[i], t.name[i], start, "".join(np.array(m.letters)[st[i]])))
         return pd.DataFrame(out, columns=["tree_id", "node_id", "name", "start", "seq"])
 
-    return blocks.groupBy("tree_id", "start").applyInPandas(run, "tree_id string, node_id int, name string, start int, seq string")
+    return spread(blocks, "tree_id", "start").groupBy("tree_id", "start").applyInPandas(run, "tree_id string, node_id int, name string, start int, seq string")
 
 
 def _rates_once(p: pd.DataFrame, grid: int | None) -> pd.DataFrame:
@@ -549,7 +549,7 @@ def rate_susceptibility(nodes: DataFrame, dates: DataFrame, sites: int | DataFra
     One task per tree and rate.
     """
     each = _with_dates(nodes, dates, sites).withColumn("factor", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    ran = each.groupBy("tree_id", "factor").applyInPandas(lambda p: _rates_once(p, grid), "tree_id string, node_id int, factor int, date double")
+    ran = spread(each, "tree_id", "factor").groupBy("tree_id", "factor").applyInPandas(lambda p: _rates_once(p, grid), "tree_id string, node_id int, factor int, date double")
     return ran.groupBy("tree_id", "node_id").agg(
         F.max(F.when(F.col("factor") == 0, F.col("date"))).alias("date"), F.min("date").alias("lower"), F.max("date").alias("upper")
     )
@@ -571,7 +571,7 @@ def tree_layout(nodes: DataFrame) -> DataFrame:
             out += [(p["tree_id"].iloc[0], t.ids[i], x[i], y[i]) for i in range(len(t))]
         return pd.DataFrame(out, columns=["tree_id", "node_id", "x", "y"])
 
-    return nodes.select(*NODE_COLUMNS).groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, x double, y double")
+    return spread(nodes.select(*NODE_COLUMNS), "tree_id").groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, x double, y double")
 
 
 def reassortment_clades(nodes: DataFrame, mccs: DataFrame) -> DataFrame:
@@ -585,7 +585,7 @@ def reassortment_clades(nodes: DataFrame, mccs: DataFrame) -> DataFrame:
             out += [(p["tree_id"].iloc[0], t.ids[i], int(m[i]), bool(i and m[i] >= 0 and m[i] == m[t.parent[i]])) for i in range(len(t))]
         return pd.DataFrame(out, columns=["tree_id", "node_id", "mcc", "shared"])
 
-    return d.groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, mcc int, shared boolean")
+    return spread(d, "tree_id").groupBy("tree_id").applyInPandas(run, "tree_id string, node_id int, mcc int, shared boolean")
 
 
 def optimised_trees(nodes: DataFrame, aln: DataFrame, model: Model | None = None, models: DataFrame | None = None, rounds: int = 8, damping: float = 0.75, tol: float = 0.1) -> DataFrame:
@@ -616,7 +616,7 @@ def optimised_trees(nodes: DataFrame, aln: DataFrame, model: Model | None = None
     for k in range(rounds):
         pairs = expected_branch_pairs(live, aln, given, models)
         d = _with_models(live.select(*NODE_COLUMNS).join(pairs, ["tree_id", "node_id"], "left"), models)
-        now = materialize(d.groupBy("tree_id").applyInPandas(moved(damping ** (k + 1), k + 1), schema), "lengths")
+        now = materialize(spread(d, "tree_id").groupBy("tree_id").applyInPandas(moved(damping ** (k + 1), k + 1), schema), "lengths")
         if k == rounds - 1:
             rested.append(now)
             break

@@ -44,7 +44,7 @@ def top_recurrent(site_counts: DataFrame, n: int, length: int) -> DataFrame:
     return site_counts.orderBy((F.col("multiplicity") - 0.1 * F.col("pos") / length).desc(), "a", "d").limit(n)
 
 
-def rate_statistics(muts: DataFrame, nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def rate_statistics(muts: DataFrame) -> DataFrame:
     """n_ij and the time terms of mutations per (anc, der): n, half - the time moved from der to anc."""
     return muts.groupBy(F.col("a").alias("anc"), F.col("d").alias("der")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("branch_length") / 2).alias("half")

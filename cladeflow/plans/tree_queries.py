@@ -169,7 +169,7 @@ def homoplasy_strains(spark, d):
 
 
 def rate_statistics(spark, d):
-    s = M.rate_statistics(_muts(spark, d), None)
+    s = M.rate_statistics(_muts(spark, d))
     return s.select("anc", "der", "n", F.round("half", 6).alias("half"))
 
 
@@ -178,7 +178,7 @@ def gtr_inferred(spark, d):
     import numpy as np
 
     nodes = materialize(_nodes(spark, d), "nodes")
-    rows = M.rate_statistics(M.branch_mutations(read(spark, d, "mutations"), nodes), nodes).collect()  # at most 20 rows
+    rows = M.rate_statistics(M.branch_mutations(read(spark, d, "mutations"), nodes)).collect()  # at most 20 rows
     total = nodes.agg(F.sum("branch_length").alias("l")).first()["l"] or 0.0
     share = {r["state"]: r["n"] for r in AL.composition(_aln(spark, d).withColumn("all", F.lit(1)), ["all"]).collect()}
     at = {c: k for k, c in enumerate("ACGT-")}
@@ -229,9 +229,13 @@ def trait_states(spark, d):
 
 
 def _columns(spark, d):
-    """Sequences in the columns of their trees, and the numbers of columns."""
-    c = AL.tree_columns(_aln(spark, d)).where("seq is not null").select("tree_id", "taxon", "seq")
-    return c, materialize(I.site_counts(c), "sites")
+    """Sequences in the columns of their trees."""
+    return AL.tree_columns(_aln(spark, d)).where("seq is not null").select("tree_id", "taxon", "seq")
+
+
+def _sites(spark, d):
+    """Numbers of columns of the trees."""
+    return materialize(I.site_counts(_aln(spark, d)), "sites")
 
 
 def aln_columns(spark, d):
@@ -260,7 +264,7 @@ def aln_position_kinds(spark, d):
 
 
 def site_models(spark, d):
-    return I.infer_site_models(_nodes(spark, d), _columns(spark, d)[0])
+    return I.infer_site_models(_nodes(spark, d), _columns(spark, d))
 
 
 def tips_undated(spark, d):
@@ -272,25 +276,25 @@ def tips_undated(spark, d):
 
 
 def ancestral_marginal(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "marginal")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d), "marginal")
 
 
 def ancestral_joint(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "joint")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d), "joint")
 
 
 def ancestral_fitch(spark, d):
-    return I.ancestral_states(_nodes(spark, d), _columns(spark, d)[0], "fitch")
+    return I.ancestral_states(_nodes(spark, d), _columns(spark, d), "fitch")
 
 
 def ancestral_inferred(spark, d):
     """Under a model of five states that is inferred for each tree."""
-    n, aln = _nodes(spark, d), _columns(spark, d)[0]
+    n, aln = _nodes(spark, d), _columns(spark, d)
     return I.ancestral_states(n, aln, "marginal", models=I.infer_models(n, aln))
 
 
 def models_inferred(spark, d):
-    return I.infer_models(_nodes(spark, d), _columns(spark, d)[0])
+    return I.infer_models(_nodes(spark, d), _columns(spark, d))
 
 
 def clock_best_root(spark, d):
@@ -307,39 +311,39 @@ def clock_min_deviation_root(spark, d):
 def clock_covariation_root(spark, d):
     """Roots with variances that grow along the branches; the rate's deviation and the root's date."""
     n = _nodes(spark, d)
-    return I.best_roots(n, _dates(spark, d, n), _columns(spark, d)[1], covariation=True)
+    return I.best_roots(n, _dates(spark, d, n), _sites(spark, d), covariation=True)
 
 
 def clock_oldest_root(spark, d):
     n = _nodes(spark, d)
-    return I.best_roots(n, _dates(spark, d, n), _columns(spark, d)[1], mode="oldest")
+    return I.best_roots(n, _dates(spark, d, n), _sites(spark, d), mode="oldest")
 
 
 def clock_local_outliers(spark, d):
     n = _nodes(spark, d)
-    return I.local_outliers(n, _dates(spark, d, n), _columns(spark, d)[1], 2.0)
+    return I.local_outliers(n, _dates(spark, d, n), _sites(spark, d), 2.0)
 
 
 def timetree_joint(spark, d):
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1])
+    return I.time_trees(n, _dates(spark, d, n), _sites(spark, d))
 
 
 def timetree_marginal(spark, d):
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], marginal=True, vary_rate=True)
+    return I.time_trees(n, _dates(spark, d, n), _sites(spark, d), marginal=True, vary_rate=True)
 
 
 def timetree_adaptive(spark, d):
     """Marginal dates with a grid for each branch."""
     n = _nodes(spark, d)
-    return I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], marginal=True, adaptive=True)
+    return I.time_trees(n, _dates(spark, d, n), _sites(spark, d), marginal=True, adaptive=True)
 
 
 def timetree_full(spark, d):
     """All of it: inferred models, sequences, best roots, outliers, polytomies, relaxed rates, a coalescent, confidence."""
     n = _nodes(spark, d)
-    aln, sites = _columns(spark, d)
+    aln, sites = _columns(spark, d), _sites(spark, d)
     models = I.infer_models(n, aln, 3)
     pairs = materialize(I.expected_branch_pairs(n, aln, models=models), "pairs")
     return I.time_trees(
@@ -351,7 +355,7 @@ def timetree_full(spark, d):
 def timetree_skyline(spark, d):
     """Effective time scale through time of the dated trees: date, Tc and its bounds."""
     n = _nodes(spark, d)
-    t = I.time_trees(n, _dates(spark, d, n), _columns(spark, d)[1], coalescent="skyline", resolve=True, reroot="best").where("info is not null")
+    t = I.time_trees(n, _dates(spark, d, n), _sites(spark, d), coalescent="skyline", resolve=True, reroot="best").where("info is not null")
     sky = F.from_json(F.get_json_object("info", "$.skyline"), "array<array<double>>")
     x = t.select(*GROUP, F.explode(sky).alias("x"))
     return x.select(*GROUP, *[F.col("x")[k].alias(c) for k, c in enumerate(("date", "tc", "lower", "upper"))])
@@ -371,7 +375,7 @@ def traits_inferred(spark, d):
 
 def branch_state_pairs(spark, d):
     n = _nodes(spark, d)
-    return I.branch_state_pairs(I.ancestral_states(n, _columns(spark, d)[0], "joint"), n)
+    return I.branch_state_pairs(I.ancestral_states(n, _columns(spark, d), "joint"), n)
 
 
 def branch_lengths(spark, d):
@@ -379,7 +383,7 @@ def branch_lengths(spark, d):
 
 
 def optimised_trees(spark, d):
-    return I.optimised_trees(_nodes(spark, d), _columns(spark, d)[0])
+    return I.optimised_trees(_nodes(spark, d), _columns(spark, d))
 
 
 def simulated_alignments(spark, d):
@@ -388,7 +392,7 @@ def simulated_alignments(spark, d):
 
 def rate_susceptibility(spark, d):
     n = _nodes(spark, d)
-    return I.rate_susceptibility(n, _dates(spark, d, n), _columns(spark, d)[1])
+    return I.rate_susceptibility(n, _dates(spark, d, n), _sites(spark, d))
 
 
 def tree_layout(spark, d):

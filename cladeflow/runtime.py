@@ -103,6 +103,16 @@ def release(df: DataFrame) -> None:
             return
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over at least two tasks per core, for work whose cost is not in its bytes.
+
+    The number is given, so that adaptive planning does not merge small partitions into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.operators.inference import NODE_COLUMNS, _trees
+from cladeflow.runtime import spread
 
 
 def write_fasta(aln: DataFrame, path: str, width: int = 80) -> None:
@@ -110,7 +111,7 @@ def tree_texts(nodes: DataFrame, kind: str = "newick", attributes: list[str] = (
             out.append((p["tree_id"].iloc[0], t.newick()))
         return pd.DataFrame(out, columns=["tree_id", "text"])
 
-    return nodes.select(*NODE_COLUMNS, *attributes).groupBy("tree_id").applyInPandas(run, "tree_id string, text string")
+    return spread(nodes.select(*NODE_COLUMNS, *attributes), "tree_id").groupBy("tree_id").applyInPandas(run, "tree_id string, text string")
 
 
 def _shown(v) -> str:

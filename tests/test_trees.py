@@ -265,8 +265,6 @@ def test_job_options_have_effects(spark, tmp_path):
     assert dates("inferred", "--keep-root") != plain  # the model is inferred
     assert _table(spark, tmp_path / "inferred/sequence_evolution_models").count() == 1
     assert dates("input", "--gtr", "jc69", "--keep-root", "--branch-length-mode", "input") != plain
-    assert dates("rate", "--gtr", "jc69", "--keep-root", "--clock-rate", "0.001") != plain
-    assert dates("oldest", "--gtr", "jc69", "--reroot", "oldest") != plain
     sky = dates("sky", "--gtr", "jc69", "--keep-root", "--coalescent", "skyline", "--confidence", "--n-skyline", "5")
     assert all(r[2] is not None for r in sky) and _table(spark, tmp_path / "sky/skyline").count() == 5
     assert jobs.fresh_folder("x").endswith("_x")
