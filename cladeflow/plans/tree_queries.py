@@ -192,7 +192,8 @@ def gtr_inferred(spark, d):
         t[at[r["der"]]] -= r["half"]
     m = infer(n, t, GENOME * np.array([share.get(c, 0) / max(seen, 1) for c in at]), "nuc", pc=5.0)
     return spark.createDataFrame(
-        [(c, float(m.pi[k]), float(m.mu), [float(x) for x in m.w[k]]) for c, k in at.items()], "state string, pi double, mu double, w array<double>"
+        [(c, round(float(m.pi[k]), 6), round(float(m.mu), 9), *(round(float(x), 5) for x in m.w[k])) for c, k in at.items()],
+        "state string, pi double, mu double, w_a double, w_c double, w_g double, w_t double, w_gap double",
     )
 
 
@@ -316,7 +317,8 @@ def clock_covariation_root(spark, d):
 
 def clock_oldest_root(spark, d):
     n = _nodes(spark, d)
-    return I.best_roots(n, _dates(spark, d, n), _sites(spark, d), mode="oldest")
+    x = I.best_roots(n, _dates(spark, d, n), _sites(spark, d), mode="oldest")
+    return x.select(*GROUP, "node_id", F.round("slope", 6).alias("slope"), F.round("chisq", 6).alias("chisq"), F.round("r_val", 5).alias("r_val"), "n_dates")
 
 
 def clock_local_outliers(spark, d):
@@ -565,6 +567,34 @@ SQL = {
         select hits::bigint as hits, n::bigint as n, round(30000 * exp(hits * ln(mean) - mean - lgamma(hits + 1)), 4) as expected from h, t""",
     "homoplasy_strains": _MUT + ", c as (select a, pos, d from mu group by 1, 2, 3 having count(*) > 1) select tree_id, node_id, count(*) as n_homoplasies from mu join c using (a, pos, d) where is_tip group by 1, 2",
     "rate_statistics": _MUT + " select a as anc, d as der, count(*) as n, round(sum(branch_length / 2), 6) as half from mu group by 1, 2",
+    # the fixed point in steps: exchange rates, their norm, what each state reaches, frequencies, overall rate
+    "gtr_inferred": _MUT.replace("with", "with recursive", 1) + ", " + _ALN.strip() + """, st as (select ['A', 'C', 'G', 'T', '-'] as l),
+        share as (select list_position(l, x) as k, count(*)::double as c from (select unnest(string_split(seq, '')) as x from al where length(seq) > 0), st where list_contains(l, x) group by 1),
+        sh as (select list(coalesce(c, 0) order by i) as f from (select unnest(range(1, 6)) as i) left join share on share.k = i),
+        cells as (select list_position(l, d) as i, list_position(l, a) as j, count(*)::double as n, sum(branch_length / 2) as half from mu, st group by 1, 2),
+        total as (select sum(branch_length) as t from cur),
+        inp as (
+          select (select list(coalesce(n, 0) order by (x - 1) // 5, (x - 1) % 5) from (select unnest(range(1, 26)) as x) left join cells on i = (x - 1) // 5 + 1 and j = (x - 1) % 5 + 1) as n,
+            list_transform(range(1, 6), lambda k: 30000 * f[k] / list_sum(f)) as root,
+            (select list(30000 * t * f[x] / list_sum(f) + coalesce((select sum(half) from cells where j = x), 0) - coalesce((select sum(half) from cells where i = x), 0) order by x) from (select unnest(range(1, 6)) as x), total) as t
+          from sh
+        ), it as (
+          select 0 as step, [0.2, 0.2, 0.2, 0.2, 0.2]::double[] as pi, (list_sum(list_transform(range(1, 26), lambda x: case when (x - 1) // 5 = (x - 1) % 5 then 0 else n[x] end)) + 5) / (list_sum(t) + 5) as mu, []::double[] as w, 1.0::double as moved from inp
+          union all
+          select step + 1, new_pi, (big + 5) / (list_sum(list_transform(range(1, 6), lambda k: new_pi[k] * reach[k])) + 5), w, list_max(list_transform(range(1, 6), lambda k: abs(new_pi[k] - pi[k]))) from (
+            select *, list_transform(raw_pi, lambda p: p / list_sum(raw_pi)) as new_pi from (
+              select *, list_transform(range(1, 6), lambda k: (list_sum(list_transform(range(1, 6), lambda j: case when j = k then 0 else n[(k - 1) * 5 + j] end)) + root[k] + 20) / (mu * reach[k] + list_sum(root) + 20 + 1e-12)) as raw_pi from (
+                select *, list_transform(range(1, 6), lambda k: list_sum(list_transform(range(1, 6), lambda j: w[(k - 1) * 5 + j] * t[j]))) as reach from (
+                  select step, pi, mu, n, t, root, big, list_transform(w0, lambda v: v / scale) as w from (
+                    select *, (list_sum(list_transform(range(1, 26), lambda x: pi[(x - 1) // 5 + 1] * w0[x] * pi[(x - 1) % 5 + 1])) - list_sum(list_transform(range(1, 6), lambda k: pi[k] * w0[(k - 1) * 5 + 5])) * pi[5]) / (1 - pi[5]) as scale from (
+                      select step, pi, mu, n, t, root, list_sum(list_transform(range(1, 26), lambda x: case when (x - 1) // 5 = (x - 1) % 5 then 0 else n[x] end)) as big,
+                        list_transform(range(1, 26), lambda x: case when (x - 1) // 5 = (x - 1) % 5 then 0.0 else
+                          (n[x] + n[((x - 1) % 5) * 5 + (x - 1) // 5 + 1] + 10) / (mu * (pi[(x - 1) // 5 + 1] * t[(x - 1) % 5 + 1] + pi[(x - 1) % 5 + 1] * t[(x - 1) // 5 + 1]) + 1e-12 + 10 * mu) end) as w0
+                      from it, inp where step < 40 and moved >= 1e-5))))))
+        ), fit as (select mu, w, list_transform(list_concat(pi[1:4], [0.01]), lambda p: p / (list_sum(pi[1:4]) + 0.01)) as pi from it order by step desc limit 1),
+        nrm as (select *, (list_sum(list_transform(range(1, 26), lambda x: pi[(x - 1) // 5 + 1] * w[x] * pi[(x - 1) % 5 + 1])) - list_sum(list_transform(range(1, 6), lambda k: pi[k] * w[(k - 1) * 5 + 5])) * pi[5]) / (1 - pi[5]) as scale from fit)
+        select l[k] as state, round(pi[k], 6) as pi, round(mu, 9) as mu, round(w[k * 5 - 4] / scale, 5) as w_a, round(w[k * 5 - 3] / scale, 5) as w_c, round(w[k * 5 - 2] / scale, 5) as w_g, round(w[k * 5 - 1] / scale, 5) as w_t, round(w[k * 5] / scale, 5) as w_gap
+        from nrm, st, (select unnest(range(1, 6)) as k)""",
     "path_statistics": """with e as (select event_type as from_state, lead(event_type) over w as to_state, epoch_us(lead(ts) over w) - epoch_us(ts) as us from events window w as (partition by user_id order by ts, event_id))
         select from_state, to_state, count(*) as n, round(sum(us) / 1e6, 2) as dwell_s from e where to_state is not null group by 1, 2""",
     "equal_rates_transitions": "with" + _CUR + " select tree_id, node_id, round(0.25 + 0.75 * exp(-branch_length / 0.75), 8) as p_same, round(0.25 - 0.25 * exp(-branch_length / 0.75), 8) as p_other from cur",
@@ -592,6 +622,30 @@ SQL = {
         from cur c where c.is_tip and not exists (select 1 from tipdates t where t.tree_id = c.tree_id and t.node_id = c.node_id)""",
     "clock_best_root": _ROOTS + _least_sql("q0 - u0 * u0 / tt", "q1 - 2 * u0 * u1 / tt", "q2 - u1 * u1 / tt", "case when u1 > 0 then greatest(0, -u0 / u1) else 0 end", "case when u1 < 0 then least(len, -u0 / u1) else len end", "(u1 <> 0 or u0 >= 0)")
         + "select tree_id, root_id, round((u0 + u1 * a) / tt, 7) as slope, round(chi, 7) as chisq, n::int as n_dates from best where rn = 1",
+    "clock_oldest_root": _ROOTS + _ORDER + """, old as (
+          select tip.tree_id, tip.root_id, tip.node_id as v, row_number() over (partition by tip.tree_id, tip.root_id order by t, key) as rn from tip join pre using (tree_id, node_id)),
+        z as (select m.tree_id, m.root_id, m.v, m.n, m.tt, q0 + q1 * len / 2 + q2 * len * len / 4 as dd, u0 + u1 * len / 2 as td from m join old on old.tree_id = m.tree_id and old.v = m.v and rn = 1 where tt > 1e-9)
+        select tree_id, root_id, v as node_id, round(td / tt, 6) + 0.0 as slope, round(0.5 * (dd - td * td / tt), 6) + 0.0 as chisq, round(td / sqrt(tt * dd), 5) + 0.0 as r_val, n::int as n_dates from z""",
+    "reassortment_clades": _WALK + """, md as (
+          select tree_id, name, (dense_rank() over (partition by tree_id order by c))::int as mcc from (select tree_id, name, min(country) as c from metadata where country is not null and name is not null group by 1, 2)),
+        hi as (select tree_id, anc as node_id, max(steps) as h from above group by 1, 2), top as (select max(h) as h from hi),
+        sets as (
+          select 0 as h, u.tree_id, u.node_id, u.par, case when md.mcc is null then []::int[] else [md.mcc] end as s from up u join hi on hi.tree_id = u.tree_id and hi.node_id = u.node_id and hi.h = 0 left join md on md.tree_id = u.tree_id and md.name = u.name
+          union all
+          select h, tree_id, node_id, par, s from (
+            select sets.h + 1 as h, tree_id, node_id, par, s from sets, top where sets.h < top.h
+            union all
+            select h, tree_id, node_id, par, case when len(both_) > 0 then both_ else list_sort(list_distinct(flatten(coalesce(kids, [])))) end as s from (
+              select sets.h + 1 as h, u.tree_id, u.node_id, any_value(u.par) as par, list(sets.s) filter (where len(sets.s) > 0) as kids, coalesce(list_reduce(list(sets.s) filter (where len(sets.s) > 0), lambda a, b: list_intersect(a, b)), []::int[]) as both_
+              from sets join up u on u.tree_id = sets.tree_id and u.node_id = sets.par join hi on hi.tree_id = u.tree_id and hi.node_id = u.node_id and hi.h = sets.h + 1 group by all)
+          )
+        ), fin as (select sets.* from sets join top on sets.h = top.h),
+        down as (
+          select tree_id, node_id, case when len(s) = 1 then s[1] else -1 end as mcc, false as shared from fin where par is null
+          union all
+          select f.tree_id, f.node_id, case when list_contains(f.s, d.mcc) then d.mcc when len(f.s) = 1 then f.s[1] else -1 end, coalesce(list_contains(f.s, d.mcc), false) from fin f join down d on d.tree_id = f.tree_id and d.node_id = f.par
+        )
+        select tree_id, node_id, mcc, shared from down""",
     "clock_min_deviation_root": _ROOTS + _least_sql("q0", "q1", "q2", "0", "len", "true") + "select tree_id, root_id, round(chi, 7) as chisq, n::int as n_dates from best where rn = 1",
     "coalescent_tc": _EVENTS + """, e1 as (select *, lag(k) over w as above, lag(t) over w as before from ltt window w as (partition by tree_id, root_id order by t)),
         seg as (select tree_id, root_id, before as a, t as b, 0.5 * greatest(0.5, above - 1) as rate from e1 where before is not null),
