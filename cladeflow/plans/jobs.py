@@ -81,6 +81,7 @@ def _models(a, nodes: DataFrame, aln: DataFrame) -> tuple[Model | None, DataFram
     if given is not None:
         with open(os.path.join(_made(a), "sequence_evolution_model.txt"), "w") as f:
             f.write(given.text())
+        given.save(os.path.join(a.outdir, "sequence_evolution_model.npz"))
         return given, None
     fixed = None
     if getattr(a, "vcf_reference", None) and a.aln and a.aln.endswith((".vcf", ".vcf.gz")):

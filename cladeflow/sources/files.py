@@ -146,10 +146,12 @@ def read_vcf(spark: SparkSession, path) -> dict[str, DataFrame]:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"[\r\n]+$", "").alias("v"))
     meta, head = lines.where("v like '##%'"), lines.where("v like '#%' and v not like '##%'")
     data = lines.where("v not like '#%' and length(trim(v)) > 0")
-    top = head.orderBy("_at").limit(2).collect()  # a file has one header line
-    if len(top) != 1 or not top[0]["v"].startswith(_HEADER):
+    # the names stay in the header's row, which is joined where they are needed
+    top = head.select("_at", F.col("v").startswith(_HEADER).alias("ok"), (F.size(F.split(F.trim("v"), "\t")) - 9).alias("n")).orderBy("_at").limit(2).collect()
+    if len(top) != 1 or not top[0]["ok"]:
         raise ValueError(f"{path}: the header line must be there once and begin with {_HEADER!r}")
-    samples = [s.strip() for s in top[0]["v"].strip().split("\t")[9:]]
+    n_samples = top[0]["n"]
+    names = head.select(F.transform(F.slice(F.split(F.trim("v"), "\t"), F.lit(10), F.lit(max(n_samples, 1))), F.trim).alias("names"))
     if meta.where(F.col("_at") > top[0]["_at"]).limit(1).count() or data.where(F.col("_at") < top[0]["_at"]).limit(1).count():
         raise ValueError(f"{path}: meta lines come first, then the header, then data")
     f = F.split("v", "\t")
@@ -158,14 +160,13 @@ def read_vcf(spark: SparkSession, path) -> dict[str, DataFrame]:
         f[8].alias("format"), F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))).alias("calls"),
     )
     gt = rows.where("format like 'GT%'").select("pos", "ref", "alts", F.posexplode("calls").alias("_k", "_c"))
-    names = F.array(*[F.lit(s) for s in samples])
-    gt = gt.select("pos", "ref", "alts", F.get(names, F.col("_k")).alias("taxon"), F.trim(F.split("_c", ":")[0]).alias("g"))
+    gt = gt.crossJoin(F.broadcast(names)).select("pos", "ref", "alts", F.get("names", F.col("_k")).alias("taxon"), F.trim(F.split("_c", ":")[0]).alias("g"))
     gt = gt.withColumn("parts", F.split("g", r"[|/]"))
     facts = rows.agg(F.countDistinct("chrom").alias("chroms"), F.max(F.size("calls")).alias("hi"), F.min(F.size("calls")).alias("lo")).first()
     ploidy = gt.agg(F.min(F.size("parts")).alias("lo"), F.max(F.size("parts")).alias("hi")).first()
     if facts["chroms"] and facts["chroms"] > 1:
         raise ValueError(f"{path}: several chromosomes")
-    if facts["hi"] is not None and (facts["hi"] != len(samples) or facts["lo"] != len(samples)):
+    if facts["hi"] is not None and (facts["hi"] != n_samples or facts["lo"] != n_samples):
         raise ValueError(f"{path}: numbers of calls and of samples differ")
     if ploidy["lo"] != ploidy["hi"]:
         raise ValueError(f"{path}: mixed ploidy")
@@ -197,7 +198,7 @@ def read_vcf(spark: SparkSession, path) -> dict[str, DataFrame]:
         raise ValueError(f"{path}: no genotypes could be read")
     return {
         "variants": variants, "insertions": insertions,
-        "samples": spark.createDataFrame([(s,) for s in samples], "taxon string"), "meta": meta.select(F.trim("v").alias("line")),
+        "samples": names.select(F.explode("names").alias("taxon")), "meta": meta.select(F.trim("v").alias("line")),
     }
 
 

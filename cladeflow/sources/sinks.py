@@ -27,10 +27,9 @@ def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
 def vcf_lines(variants: DataFrame, samples: DataFrame, reference: str, chrom: str = "1") -> DataFrame:
     """Lines of a variant-call file: order key and text. Runs of deleted bases of a sample are one call with the base before.
 
-    The list of samples is a header line, so it is held whole; positions are distributed.
+    The samples are one row of the plan, as they are one line of the file; positions are distributed.
     """
-    names = [r["taxon"] for r in samples.orderBy("taxon").collect()]
-    spark = variants.sparkSession
+    names = samples.agg(F.array_sort(F.collect_list("taxon")).alias("names"))  # one row, as the header is one line
     snp = variants.where("state <> '-'").select("taxon", "pos", F.lit(1).alias("n"), F.col("state").alias("alt"))
     w = Window.partitionBy("taxon").orderBy("pos")
     runs = variants.where("state = '-'").withColumn("_g", F.col("pos") - F.row_number().over(w)).groupBy("taxon", "_g").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("n"))
@@ -41,11 +40,13 @@ def vcf_lines(variants: DataFrame, samples: DataFrame, reference: str, chrom: st
         F.when(F.col("pos") > 0, F.substring(ref, F.col("pos"), F.lit(1))).otherwise(F.substring(ref, F.col("n") + 1, F.lit(1))).alias("alt"),
     )
     calls = snp.unionByName(dele).groupBy("pos", "n").agg(F.array_sort(F.collect_set("alt")).alias("alts"), F.map_from_entries(F.collect_list(F.struct("taxon", "alt"))).alias("m"))
-    gt = F.array_join(F.transform(F.array(*[F.lit(s) for s in names]), lambda s: F.coalesce(F.array_position("alts", F.try_element_at("m", s)), F.lit(0)).cast("string")), "\t")
+    gt = F.array_join(F.transform("names", lambda s: F.coalesce(F.array_position("alts", F.try_element_at("m", s)), F.lit(0)).cast("string")), "\t")
     text = F.concat_ws("\t", F.lit(chrom), (F.col("pos") + 1).cast("string"), F.lit("."), F.substring(ref, F.col("pos") + 1, F.col("n")), F.array_join("alts", ","), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), gt)
-    body = calls.select((F.col("pos") + 1).cast("bigint").alias("key"), "n", text.alias("value"))
-    head = [(-1, 0, "##fileformat=VCFv4.3"), (0, 0, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]))]
-    return spark.createDataFrame(head, "key bigint, n int, value string").unionByName(body)
+    body = calls.crossJoin(F.broadcast(names)).select((F.col("pos") + 1).cast("bigint").alias("key"), "n", text.alias("value"))
+    key = lambda k: [F.lit(k).cast("bigint").alias("key"), F.lit(0).alias("n")]
+    version = names.select(*key(-1), F.lit("##fileformat=VCFv4.3").alias("value"))
+    columns = F.array(*[F.lit(c) for c in ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")])
+    return version.unionByName(names.select(*key(0), F.array_join(F.concat(columns, "names"), "\t").alias("value"))).unionByName(body)
 
 
 def write_vcf(variants: DataFrame, samples: DataFrame, reference: str, path: str, chrom: str = "1") -> None:
