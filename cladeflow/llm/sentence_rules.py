@@ -69,10 +69,11 @@ def _token(text: str, at: int, start: int) -> str:
     width = 64
     while True:
         low = max(start, at - width)
-        m = _TOKEN.search(text, low, at)
+        blank = text.rfind(" ", low, at)
+        m = _TOKEN.search(text, max(low, blank + 1), at)
         if not m:
             return ""
-        if m.start() > low or low == start or m[0].count(".") > MOST_PARTS:
+        if blank >= 0 or m.start() > low or low == start or m[0].count(".") > MOST_PARTS:
             return m[0]
         width *= 4
 
@@ -97,6 +98,7 @@ def next_word(text: str, at: int, end: int) -> str:
     return m[1] if m else ""
 
 
+@functools.lru_cache(maxsize=4)
 def is_cased(text: str) -> bool:
     """Whether upper and lower case both occur, so that case can tell something."""
     up = sum(map(str.isupper, text))
@@ -173,7 +175,21 @@ class Evidence:
         if word[0].islower():
             self.add("i", "", "", "l")
 
-    def read(self, text: str) -> None:
+    @classmethod
+    def of(cls, text: str) -> Evidence:
+        """What one text says for itself: of words without a dot only those that it also has as dotted tokens count."""
+        own = cls()
+        own.read(text, False)
+        dotted = {a for (kind, a, _, f) in own.n if kind == "d" and f in "op"}
+        if dotted:
+            for s, e, dash in blocks(text):
+                for m in () if dash else _WORD.finditer(text, s, e):
+                    if text[m.end() : m.end() + 1] != "." and (w := m[0].lower()) in dotted:
+                        own.add("d", w, "", "w")
+        return own
+
+    def read(self, text: str, words: bool = True) -> None:
+        """Adds the counts of a text; words: also of the words without a dot."""
         cased = is_cased(text)
         for s, e, dash in blocks(text):
             if dash:
@@ -241,9 +257,9 @@ class Evidence:
                         self.add("e", t, "", "e")
                     elif t and cased:
                         self.add("e", t, "", "c" if follows.islower() else "u")
-            for m in _WORD.finditer(text, s, e):
-                if text[m.end() : m.end() + 1] != ".":
-                    self.add("d", m[0].lower(), "", "w")
+            if words:
+                plain = [m[0].lower() for m in _WORD.finditer(text, s, e) if text[m.end() : m.end() + 1] != "."]
+                self.n.update(("d", w, "", "w") for w in plain)
 
 
 def bounds(k: int, n: int) -> tuple[float, float]:

@@ -67,8 +67,7 @@ def _split(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, starts, ends = [], [], []
         for i, text, own in zip(batch["doc_id"], batch["text"], batch["said"] if "said" in batch else [None] * len(batch)):
-            ev = R.Evidence()
-            ev.read(text)
+            ev = R.Evidence.of(text)
             said = shared if shared is not None else {(x["kind"], x["a"], x["b"]): x["decision"] for x in (own if own is not None else ())}
             if shared is not None:
                 said = {k: shared[k] for k in R.wanted(ev) if k in shared}
@@ -83,8 +82,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for i, text in zip(batch["doc_id"], batch["text"]):
-            ev = R.Evidence()
-            ev.read(text)
+            ev = R.Evidence.of(text)
             rows += [(i, *k) for k in R.wanted(ev)]
         yield pd.DataFrame(rows, columns=["doc_id", "kind", "a", "b"])
 
