@@ -300,3 +300,91 @@ def test_sparse_positions(spark):
     s = spark.createDataFrame([("a", 0, "A"), ("a", 1, "C")], "taxon string, cpos int, state string")
     p = spark.createDataFrame([(0, [0, 2]), (1, [1])], "cpos int, positions array<int>")
     assert {tuple(r) for r in AL.expand_patterns(s, p).collect()} == {("a", 0, "A"), ("a", 1, "C"), ("a", 2, "A")}
+
+
+_NODES = "tree_id string, node_id int, parent_id int, child_ix int, name string, is_tip boolean, branch_length double"
+
+
+def _random_nodes(spark, n=60, seed=2, rate=0.01):
+    rng = np.random.default_rng(seed)
+    par = [None] + [int(rng.integers(0, k)) for k in range(1, n)]
+    inner = set(par)
+    when = [2000.0]
+    for i in range(1, n):
+        when.append(when[par[i]] + float(rng.exponential(1.5)))
+    rows = [("t", i, par[i], 0, f"n{i}", i not in inner, 0.0 if i == 0 else float(rng.gamma(20, 1 / 20) * rate * (when[i] - when[par[i]]))) for i in range(n)]
+    dates = [("t", i, when[i], when[i]) for i in range(n) if i not in inner]
+    return spark.createDataFrame(rows, _NODES), spark.createDataFrame(dates, "tree_id string, node_id int, lo double, hi double")
+
+
+def test_root_regressions_agree_with_the_search(spark):
+    from cladeflow.operators.rooting import root_regressions
+
+    nodes, dates = _random_nodes(spark)
+    closed = root_regressions(nodes, dates).collect()
+    searched = I.best_roots(nodes, dates, 1000).first()
+    assert len(closed) == 1 and closed[0]["chisq"] == pytest.approx(searched["chisq"], rel=1e-3) and closed[0]["slope"] == pytest.approx(searched["slope"], rel=0.02)
+    flat = root_regressions(nodes, dates, 0.0).first()
+    assert flat["slope"] == 0 and flat["chisq"] >= closed[0]["chisq"]
+    assert root_regressions(nodes, dates.limit(2)).count() == 0 and root_regressions(nodes.limit(0), dates).count() == 0
+
+
+def test_subtree_sums_and_skipping_on_a_ladder(spark):
+    n = 150
+    rows = [("t", i, i - 1 if i else None, 0, f"n{i}", False, 1.0) for i in range(n)] + [("t", 1000 + i, i, 1, f"t{i}", True, 1.0) for i in range(n)]
+    ladder = spark.createDataFrame(rows, _NODES).repartition(7)
+    s = {r["node_id"]: r for r in T.subtree_sums(ladder, {"n": ("sum", F.lit(1)), "far": ("max", F.col("node_id")), "near": ("min", F.col("node_id")), "all": ("every", F.col("node_id") > 1010)}).collect()}
+    assert s[0]["n"] == n and s[140]["n"] == 10 and s[140]["far"] == 1149 and s[20]["near"] == 1020 and s[11]["all"] and not s[10]["all"] and s[1003]["n"] == 1
+    kept = {r["node_id"]: r["new_parent_id"] for r in T.kept_ancestor(ladder, (F.col("node_id") % 10 != 0) & (F.col("node_id") < 1000)).collect()}
+    assert kept[1149] == 140 and kept[140] == 130 and kept[0] is None and 141 not in kept
+    assert T.subtree_sums(ladder.limit(0), {"n": ("sum", F.lit(1))}).count() == 0
+
+
+def test_tree_columns(spark):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("ACGT"), 120))
+    other = "".join(rng.choice(list("ACGT"), 130))
+    rows = [("t", c, base) for c in "abcd"] + [("t", "longer", base[:50] + "ACG" + base[50:]), ("t", "shorter", base[:70] + base[75:]), ("t", "stranger", other), ("t", "tiny", "ACG"), ("u", "only", "ACGT")]
+    aln = spark.createDataFrame(rows, "tree_id string, taxon string, seq string").withColumn("ref", F.lit("clash")).withColumn("n_other", F.lit(9))
+    got = {(r["tree_id"], r["taxon"]): r for r in AL.tree_columns(aln, least=0.7).collect()}
+    assert len(got) == len(rows)
+    assert got["t", "longer"]["seq"] == base and got["t", "longer"]["n_inserted"] == 3 and got["t", "longer"]["status"] == "aligned"
+    assert len(got["t", "shorter"]["seq"]) == 120 and got["t", "shorter"]["seq"].count("-") == 5
+    assert got["t", "stranger"]["status"] == got["t", "tiny"]["status"] == "left out" and got["t", "tiny"]["seq"] is None
+    assert got["u", "only"]["status"] == got["t", "a"]["status"] == "as is"
+    assert AL.tree_columns(aln.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        I.site_blocks(_random_nodes(spark)[0], aln.select("tree_id", "taxon", "seq"))
+
+
+def test_models_are_recovered(spark):
+    from cladeflow.kernels.models import Model
+
+    true = Model("nuc_nogap", 1.0, [0.4, 0.1, 0.15, 0.35], [[0, 1, 4, 1], [1, 0, 1, 4], [4, 1, 0, 1], [1, 4, 1, 0]])
+    nodes, _ = _random_nodes(spark, 80, 5, 0.05)
+    sim = I.simulate_alignments(nodes, 1500, true, seed=4, block=1500)
+    aln = sim.select("tree_id", F.col("name").alias("taxon"), "seq")
+    m = I.infer_models(nodes, aln, rounds=6, letters="nuc_nogap").first()
+    assert np.allclose(m["pi"], true.pi, atol=0.05) and m["mu"] == pytest.approx(1.0, rel=0.15) and m["w"][0][2] > 2 * m["w"][0][1]
+    states = I.ancestral_states(nodes, aln, "marginal", models=I.infer_models(nodes, aln, rounds=1, letters="nuc_nogap"))
+    assert states.select("node_id").distinct().count() == 80
+    drawn = I.ancestral_states(nodes, aln, "marginal", true, sample=1)
+    assert drawn.exceptAll(I.ancestral_states(nodes, aln, "marginal", true, sample=1)).count() == 0  # a seed draws the same
+    sites = I.infer_site_models(nodes, aln.withColumn("seq", F.substring("seq", 1, 60)))
+    assert sites.count() == 60 and sites.where("mu > 0").count() == 60
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from cladeflow.runtime import shared_dir
+
+    def session(master, checkpoint=None):
+        option = N(isDefined=lambda: checkpoint is not None, get=lambda: checkpoint)
+        sc = N(getConf=lambda: N(get=lambda k: None), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: option)), master=master, applicationId="x")
+        return N(conf=N(get=lambda k, d=None: None), sparkContext=sc)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(session("yarn", "hdfs:/shared")) == "hdfs:/shared" and shared_dir(session("local[4]")).startswith("file:")
