@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 _OWN_DIR: dict[str, str] = {}
 _MADE: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
@@ -79,14 +80,24 @@ def cleanup() -> None:
     _MADE.clear()
 
 
-def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None = None, keep_shuffles: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    keep_shuffles: False removes df's shuffle files as soon as it is written; else they stay until
+    the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"cladeflow_{name}_{uuid.uuid4().hex}")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    try:
+        if not keep_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, "true")
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cladeflow_path = path

@@ -1,5 +1,9 @@
+import gc
 import itertools
+import os
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -10,9 +14,9 @@ from cladeflow.llm import sentence_rules as R
 from cladeflow.llm.frequencies import mutation_frequencies, term_frequencies, value_frequencies
 from cladeflow.llm.leaks import leaked_passages, letters, normal, proximity_matches, words
 from cladeflow.llm.mixing import mix_sources
-from cladeflow.llm.near_duplicates import _build, _dual, all_pairs, grams, near_duplicates
+from cladeflow.llm.near_duplicates import _build, _dual, all_pairs, grams, near_duplicates, pack, unpack
 from cladeflow.llm.sentences import sentence_units
-from cladeflow.runtime import read
+from cladeflow.runtime import read, shared_dir
 
 
 # p2
@@ -81,6 +85,56 @@ def test_copies_in_large_classes(spark):
     assert all_pairs(*empty).count() == 0
 
 
+def _bytes(*folders):
+    total = 0
+    for folder in folders:
+        for at, _, names in os.walk(folder):
+            for name in names:
+                try:
+                    total += os.path.getsize(os.path.join(at, name))
+                except OSError:  # it was removed meanwhile
+                    pass
+    return total
+
+
+def test_near_duplicates_disk(spark, tmp_path):
+    """All rounds together find every pair, and never hold four times the input on disk."""
+    rng = random.Random(5)
+    bases = [_dna(rng, 560) for _ in range(4_000)]
+    rows = [(3 * k + d, s) for k, base in enumerate(bases) for d, s in enumerate([base, _edited(rng, base, 8)][: 1 + (k % 2)])]
+    path = str(tmp_path / "aln.parquet")
+    spark.createDataFrame(rows, "aln_id bigint, seq string").repartition(4).write.parquet(path)
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    folders = [*local, shared_dir(spark).removeprefix("file://")]
+    for _ in range(2):  # files of earlier tests
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+    before, peak, over = _bytes(*folders), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            peak[0] = max(peak[0], _bytes(*folders))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        links, members = near_duplicates(spark.read.parquet(path), "aln_id", "seq", round_bytes=1_000_000)
+    finally:
+        over.set()
+        watcher.join()
+    assert {tuple(r) for r in all_pairs(links, members).collect()} == {(3 * k, 3 * k + 1) for k in range(1, 4_000, 2)}
+    assert peak[0] - before < 4 * _bytes(path), (peak[0] - before) / _bytes(path)
+
+
+def test_packed_texts():
+    rng = random.Random(6)
+    texts = ["", "A", "ACGTN", "N" * 300, _dna(rng, 561), _dna(rng, 50) + "NNNNRY" + _dna(rng, 33) + "N", "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(203))]
+    letters, lens = unpack(pack(texts))
+    assert letters.tobytes().decode() == "".join(texts) and lens.tolist() == [len(t) for t in texts]
+    assert len(pack(texts)[4]) == 8 + 141 and all(len(p) <= 8 + len(t) for p, t in zip(pack(texts), texts))
+
+
 def test_dual_traversal_loses_nothing():
     rng = np.random.default_rng(3)
     bits = 512
