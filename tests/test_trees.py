@@ -388,3 +388,20 @@ def test_shared_folder_is_needed_on_a_cluster():
         with pytest.raises(RuntimeError):
             shared_dir(session(master))
     assert shared_dir(session("yarn", "hdfs:/shared")) == "hdfs:/shared" and shared_dir(session("local[4]")).startswith("file:")
+
+
+def test_pairs_counted_with_the_states(spark, small):
+    from cladeflow.operators import inference as I
+    from cladeflow.plans import tree_queries as Q
+
+    n, aln = Q._nodes(spark, small), Q._columns(spark, small)
+    rows = lambda df: sorted(map(tuple, df.select("tree_id", "node_id", "anc", "der", "n").collect()))
+    got = rows(I.ancestral_pairs(n, aln))
+    assert got and got == rows(I.branch_state_pairs(I.ancestral_states(n, aln, "joint"), n))
+
+
+def test_references_prefer_letters(spark):
+    from cladeflow.operators import alignment as AL
+
+    aln = spark.createDataFrame([("a", str(k), s) for k, s in enumerate(["NC-T", "NA-T", "-ANG", "-CNN"])] + [("b", "0", "ACGTN")], "tree_id string, taxon string, seq string")
+    assert {r["tree_id"]: r["ref"] for r in AL.references(aln).collect()} == {"a": "-A-T", "b": "ACGTN"}
